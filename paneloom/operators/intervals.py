@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import LAST_DAY
+from .keyed import keyed_scan
 
 
 class IntervalMap:
@@ -87,18 +88,26 @@ def coverage(intervals: DataFrame, spans: DataFrame, entity: str, first: str, la
     rows = intervals.filter(key.isNotNull() & a.isNotNull() & (a <= b)).select(key, a.cast("long").alias("_a"), b.cast("long").alias("_b"))
     kind = dict(intervals.dtypes)[entity]
     parts = rows.mapInPandas(_premerged(entity), f"`{entity}` {kind}, _a long, _b long")
-    ends = spans.filter(key.isNotNull()).groupBy(key).agg(F.min(lo).cast("long").alias("_lo"), F.max(F.coalesce(F.col(hi), F.lit(LAST_DAY))).cast("long").alias("_hi"))
-
-    def settle(group: tuple, part: pd.DataFrame, span: pd.DataFrame) -> pd.DataFrame:
-        own = IntervalMap()
-        for x, y in zip(part["_a"].tolist(), part["_b"].tolist()):
-            own.insert(x, y)
-        out = []
-        if len(span):
-            start, end = span["_lo"].iloc[0], int(span["_hi"].iloc[0])
-            start = (own.first[0] if own.first else end + 1) if pd.isna(start) else int(start)
-            if start <= end:
-                out = [("covered", x, y) for x, y in own.clipped(start, end)] + [("gap", x, y) for x, y in own.gaps(start, end)]
-        return pd.DataFrame([(group[0], *r) for r in out], columns=[entity, "kind", "from_day", "to_day"])
-
-    return parts.groupBy(entity).cogroup(ends.groupBy(entity)).applyInPandas(settle, f"`{entity}` {kind}, kind string, from_day int, to_day int")
+    ends = spans.filter(key.isNotNull()).groupBy(key).agg(F.min(lo).cast("long").alias("_a"), F.max(F.coalesce(F.col(hi), F.lit(LAST_DAY))).cast("long").alias("_b"))
+    met = ends.withColumn("_what", F.lit(0)).unionByName(parts.withColumn("_what", F.lit(1)))
+
+    def take(state: list, row: tuple) -> None:
+        _, x, y, what = row
+        if what:
+            state[0].insert(int(x), int(y))
+        else:
+            state[1] = (x, int(y))
+
+    def settle(group: tuple, state: list) -> list[tuple]:
+        own, span = state
+        if span is None:
+            return []
+        start, end = span
+        start = (own.first[0] if own.first else end + 1) if start is None else int(start)
+        if start > end:
+            return []
+        found = [("covered", x, y) for x, y in own.clipped(start, end)] + [("gap", x, y) for x, y in own.gaps(start, end)]
+        return [(group[0], *r) for r in found]
+
+    schema = f"`{entity}` {kind}, kind string, from_day int, to_day int"
+    return keyed_scan(met, [entity], ["_what", "_a"], lambda: [IntervalMap(), None], take, settle, schema)

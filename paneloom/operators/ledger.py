@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LAST_DAY
+from .keyed import keyed_scan
 
 TILE_DAYS = 1024
 #: Days from 2036-06 on are one tile, so that an open interval has a bounded number of pieces.
@@ -84,18 +84,18 @@ def bitemporal_ledger(filings: DataFrame, entity: str, first: str, last: str, kn
     ).select(entity, "_tile", "_a", "_b", "_r", "_x._s", "_x._k", "_x._n", "_x._v")
     kinds = dict(filings.dtypes)
 
-    def sweep(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ledger, values = Ledger(), {}
-        part = part.sort_values(["_r", "_s", "_k", "_n"], kind="stable")
-        for x, y, r, s, k, n, v in zip(*(part[c].tolist() for c in ("_a", "_b", "_r", "_s", "_k", "_n", "_v"))):
-            values[s, k, n] = v
-            ledger.record(x, y, (s, k, n), r)
-        out = [(key[0], x, y, f, t, rank[2], values[rank]) for x, y, rank, f, t in ledger.rows()]
-        frame = pd.DataFrame(out, columns=[entity, "valid_from", "valid_to", "recorded_from", "recorded_to", "number", "value"])
-        return frame.astype({"recorded_to": "Int32"})
+    def take(state: tuple, row: tuple) -> None:
+        ledger, values = state
+        _, _, x, y, r, s, k, n, v = row
+        values[s, k, n] = v
+        ledger.record(x, y, (s, k, n), r)
+
+    def finish(key: tuple, state: tuple) -> list[tuple]:
+        ledger, values = state
+        return [(key[0], x, y, f, t, rank[2], values[rank]) for x, y, rank, f, t in ledger.rows()]
 
     schema = f"`{entity}` {kinds[entity]}, valid_from int, valid_to int, recorded_from int, recorded_to int, number long, value {kinds[value]}"
-    return tiled.groupBy(entity, "_tile").applyInPandas(sweep, schema)
+    return keyed_scan(tiled, [entity, "_tile"], ["_r", "_s", "_k", "_n"], lambda: (Ledger(), {}), take, finish, schema)
 
 
 def periods(pieces: DataFrame, entity: str, value: str, first: str, last: str) -> DataFrame:

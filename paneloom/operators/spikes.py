@@ -62,7 +62,8 @@ def level_breaks(rows: DataFrame, source: str, day: str, value: str, before: Col
     ``rows`` has one row for a source and day. A reading breaks its level if its logarithm lies, on the same side and by
     more than the fence and ``least``, off the median of the three good readings before and of the three after it, and so
     do the reading just before and just after it (or, of two like readings side by side, the ones around both). Where no
-    reading precedes, ``before`` stands in. A last reading has nothing that it could return to and is no break. Sources
+    reading precedes, ``before`` (the reference price that the row quotes) stands in; a reading near a ``before`` that is itself
+    off the last reading follows a reset of the level and is no break. A last reading has nothing that it could return to and is no break. Sources
     with a null key are judged together as one source. Nulls are never flagged.
     """
     bad = impossible(F.col(value), positive=True)
@@ -84,7 +85,12 @@ def level_breaks(rows: DataFrame, source: str, day: str, value: str, before: Col
     wide = off(_median3(p1, p2, F.col("_p3")), _median3(n1, n2, F.col("_n3")))
     close_by = F.greatest(F.abs(off(p1, n1)), F.abs(off(p1, n2)), F.abs(off(p2, n1)))
     outside = ((wide > F.coalesce("_hi", F.lit(0.0))) & (wide > least)) | ((wide < F.coalesce("_lo", F.lit(0.0))) & (wide < -least))
-    return rows.withColumn("_break", F.coalesce(outside & (close_by > least), F.lit(False))).drop("_d", "_lo", "_hi", *near, "_x")
+    off_level = outside & (close_by > least)
+    if before is not None:
+        # quoted against a reference price that itself left the last reading: the level was reset, as on an ex date
+        reset = (before > 0) & (F.abs(F.ln(F.when(before > 0, before)) - p1) > 0.05) & (F.abs(F.ln(F.when(before > 0, before)) - x) < least)
+        off_level = off_level & ~F.coalesce(reset, F.lit(False))
+    return rows.withColumn("_break", F.coalesce(off_level, F.lit(False))).drop("_d", "_lo", "_hi", *near, "_x")
 
 
 def with_stuck(rows: DataFrame, source: str, day: str, values: list[str], moving: Column, least: int = STUCK_RUN) -> DataFrame:
