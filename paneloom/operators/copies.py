@@ -1,10 +1,9 @@
 """Differences between two copies of a data set, found by comparing checksums of key ranges.
 
 Keys are spread over a ring of 64-bit hashes, so that a key range holds about as many rows as any other however skewed
-the keys are. Each side is read once to give a checksum (row count and xor of row hashes) of each leaf range. The
-checksums are summed up a tree of ranges; from the root down only the parts of a mismatched range are compared, and the
-rows of the leaves that remain are compared field by field. Checksums are taken of values rounded to a fifth of the
-tolerance: values further apart than the tolerance never share a checksum, values closer than that at worst open a leaf.
+the keys are. A round takes the checksums (row count and xor of row hashes) of the parts of each open range on both
+sides and keeps the parts that differ; the rows of the leaves that remain are compared field by field. Checksums are
+taken of values rounded to a fifth of the tolerance: values further apart than the tolerance never share a checksum, values closer than that at worst open a leaf.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..session import written
 
-FANOUT_BITS = 4
+FANOUT_BITS = 8
 
 
 def _canonical(df: DataFrame, keys: Sequence[str], fields: Mapping[str, float]) -> DataFrame:
@@ -33,32 +32,23 @@ def _node(ring: Column, bits: int) -> Column:
     return F.shiftrightunsigned(ring, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def _digests(side: DataFrame, bits: int) -> DataFrame:
-    return side.groupBy(_node(F.col("_ring"), bits).alias("_leaf")).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor("_sum").alias("_x"))
+def mismatched_ranges(sides: DataFrame, bits: int) -> DataFrame:
+    """Leaves (``_leaf``) in which the two copies differ. ``sides`` has the canonical rows of both, ``_s`` 1 or -1.
 
-
-def _uneven(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Nodes whose checksums differ; one aggregate of tagged rows instead of a join."""
-    both = left.withColumn("_s", F.lit(1)).unionByName(right.withColumn("_s", F.lit(-1)))
-    found = both.groupBy("_leaf").agg(F.sum(F.col("_n") * F.col("_s")).alias("_dn"), F.bit_xor("_x").alias("_dx"))
-    return found.filter((F.col("_dn") != 0) | (F.col("_dx") != 0)).select("_leaf")
-
-
-def mismatched_ranges(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
-    """Leaves (``_leaf``) of canonical sides that differ, found from the root down, FANOUT_BITS a step."""
-    dl, dr = written(_digests(left, bits)), written(_digests(right, bits))
-
-    def up(d: DataFrame, to: int) -> DataFrame:
-        return d.groupBy(F.shiftright("_leaf", bits - to).alias("_leaf")).agg(F.sum("_n").alias("_n"), F.bit_xor("_x").alias("_x"))
-
-    open_ = None
-    for depth in [*range(0, bits, FANOUT_BITS), bits]:
-        a, b = (up(dl, depth), up(dr, depth)) if depth < bits else (dl, dr)
+    Each round splits the ranges found so far into 2**FANOUT_BITS, takes the checksums of the parts on both sides (their
+    difference in rows and xor, in one aggregate that is combined before the shuffle) and keeps the parts that differ.
+    """
+    open_, depth = None, 0
+    while True:
+        at = min(depth + FANOUT_BITS, bits)
+        rows = sides.select(_node(F.col("_ring"), at).alias("_leaf"), "_s", "_sum")
         if open_ is not None:
-            step, seen = depth - last, open_.withColumnRenamed("_leaf", "_up")
-            a, b = (x.join(seen, F.shiftright(x["_leaf"], step) == seen["_up"], "left_semi") for x in (a, b))
-        open_, last = _uneven(a, b), depth
-    return open_
+            rows = rows.withColumn("_up", F.shiftright("_leaf", at - depth)).join(open_, "_up", "left_semi")
+        found = rows.groupBy("_leaf").agg(F.sum("_s").alias("_dn"), F.bit_xor("_sum").alias("_dx"))
+        found = written(found.filter((F.col("_dn") != 0) | (F.col("_dx") != 0)).select("_leaf"))
+        if at == bits:
+            return found
+        open_, depth = found.withColumnRenamed("_leaf", "_up"), at
 
 
 def difference(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Mapping[str, float], rows: int, leaf_rows: int = 64) -> DataFrame:
@@ -72,21 +62,19 @@ def difference(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: M
     """
     keep = [*keys, *fields]
     bits = max(0, min(28, math.ceil(math.log2(max(1, rows / leaf_rows)))))
-    sides = [written(_canonical(df.select(*keep), keys, fields)) for df in (left, right)]
-    leaves = mismatched_ranges(*sides, bits)
-    rows_ = []
-    for tag, side in zip((1, 2), sides):
-        side = side.withColumn("_leaf", _node(F.col("_ring"), bits))
-        rows_.append(side.join(leaves, "_leaf", "left_semi").select(*keep, F.lit(tag).alias("_s")))
-    met = rows_[0].unionByName(rows_[1]).groupBy(*keys).agg(
-        F.bit_or("_s").alias("_in"),
-        *(F.max(F.when(F.col("_s") == s, F.col(f))).alias(f"_{s}_{f}") for f in fields for s in (1, 2)),
+    tagged = [_canonical(df.select(*keep), keys, fields).withColumn("_s", F.lit(s)) for s, df in ((1, left), (-1, right))]
+    sides = written(tagged[0].unionByName(tagged[1]))
+    leaves = mismatched_ranges(sides, bits)
+    rows_ = sides.withColumn("_leaf", _node(F.col("_ring"), bits)).join(leaves, "_leaf", "left_semi")
+    met = rows_.groupBy(*keys).agg(
+        F.sum("_s").alias("_in"),
+        *(F.max(F.when(F.col("_s") == s, F.col(f))).alias(f"_{name}_{f}") for f in fields for s, name in ((1, "l"), (-1, "r"))),
     )
 
     def verdict(f: str, tol: float) -> Column:
-        a, b = F.col(f"_1_{f}"), F.col(f"_2_{f}")
+        a, b = F.col(f"_l_{f}"), F.col(f"_r_{f}")
         return (
-            F.when(F.col("_in") == 1, "only_left").when(F.col("_in") == 2, "only_right")
+            F.when(F.col("_in") == 1, "only_left").when(F.col("_in") == -1, "only_right")
             .when(a.isNull() != b.isNull(), "value").when(F.abs(a - b) > tol, "value")
         )
 
