@@ -31,24 +31,30 @@ def weekday_context(day: Column) -> Column:
     return F.pmod(day, F.lit(7))
 
 
-def fences(rows: DataFrame, source: str, context: str, value: str, expand: float) -> DataFrame:
-    """(source, ``_all``, ``_by``): merged sketch of a source and its sketches by context."""
-    parts = rows.filter(F.col(value).isNotNull()).groupBy(source, context).agg(F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("_sk"))
-    return parts.groupBy(source).agg(F.kll_merge_agg_double("_sk").alias("_all"), F.map_from_entries(F.collect_list(F.struct(context, "_sk"))).alias("_by"))
-
-
-def _range(context: str, expand: float) -> tuple[Column, Column]:
-    own = F.try_element_at(F.col("_by"), F.col(context))
-    sketch = F.when(F.kll_sketch_get_n_double(own) >= CONTEXT_LEAST, own).otherwise(F.col("_all"))
-    q1, q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-    return q1 - (q3 - q1) * expand, q3 + (q3 - q1) * expand
-
-
-def with_range(rows: DataFrame, source: str, day: str, value: str, expand: float) -> DataFrame:
-    """``rows`` with ``_lo`` and ``_hi``, the fences of ``value`` for the row's source and context."""
-    rows = rows.withColumn("_ctx", weekday_context(F.col(day)))
-    lo, hi = _range("_ctx", expand)
-    return rows.join(fences(rows, source, "_ctx", value, expand), source, "left").withColumns({"_lo": lo, "_hi": hi}).drop("_ctx", "_all", "_by")
+def with_normal_ranges(rows: DataFrame, source: str, day: str, values: dict[str, tuple[Column, float]]) -> DataFrame:
+    """``rows`` with ``_lo_{name}`` and ``_hi_{name}``: the interquartile range of each value for the row's source and context,
+    expanded on either side by the given multiple. ``rows`` is read twice and should be a written table."""
+    context = weekday_context(F.col(day)).alias("_ctx")
+    sketch = [F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(n) for n, (v, _) in values.items()]
+    parts = rows.groupBy(F.col(source).alias("_src"), context).agg(*sketch)
+    merged = parts.groupBy("_src").agg(
+        *(F.kll_merge_agg_double(n).alias(f"_all_{n}") for n in values),
+        *(F.map_from_entries(F.collect_list(F.struct("_ctx", n))).alias(f"_by_{n}") for n in values),
+    )
+    # quartiles of a source, and of each context that has enough readings of its own
+    q = lambda sk: F.array(*(F.kll_sketch_get_quantile_double(sk, F.lit(p)) for p in (0.25, 0.75)))
+    some = lambda sk, least: F.coalesce(F.kll_sketch_get_n_double(sk), F.lit(0)) >= least
+    ranges = merged.select("_src", *(c for n in values for c in (
+        F.when(some(F.col(f"_all_{n}"), 1), q(F.col(f"_all_{n}"))).alias(f"_q_{n}"),
+        F.transform_values(F.map_filter(f"_by_{n}", lambda _, sk: some(sk, CONTEXT_LEAST)), lambda _, sk: q(sk)).alias(f"_m_{n}"),
+    )))
+    met = rows.join(ranges, rows[source] == ranges["_src"], "left")  # rows without a source have no range
+    bounds = {}
+    for n, (_, expand) in values.items():
+        own = F.coalesce(F.try_element_at(F.col(f"_m_{n}"), weekday_context(F.col(day))), F.col(f"_q_{n}"))
+        width = own[1] - own[0]
+        bounds |= {f"_lo_{n}": own[0] - width * expand, f"_hi_{n}": own[1] + width * expand}
+    return met.withColumns(bounds).drop("_src", *(f"_{k}_{n}" for k in "qm" for n in values))
 
 
 def impossible(value: Column, positive: bool) -> Column:
@@ -56,58 +62,59 @@ def impossible(value: Column, positive: bool) -> Column:
     return F.coalesce(bad | (value <= 0) if positive else bad, F.lit(False))
 
 
-def level_breaks(rows: DataFrame, source: str, day: str, value: str, before: Column | None = None, expand: float = 2.0, least: float = 0.12) -> DataFrame:
-    """``rows`` with boolean ``_bad`` (impossible) and ``_break`` for a positive level such as a price or a factor.
+def level_candidates(rows: DataFrame, source: str, day: str, value: str, before: Column | None = None, least: float = 0.12) -> DataFrame:
+    """``rows`` with boolean ``_bad`` (impossible), ``_step`` (how far the logarithm lies off the level before) and ``_off`` (how
+    far it lies off the levels around it, if that is implausible, else null), for a positive level such as a price.
 
-    ``rows`` has one row for a source and day. A reading breaks its level if its logarithm lies, on the same side and by
-    more than the fence and ``least``, off the median of the three good readings before and of the three after it, and so
-    do the reading just before and just after it (or, of two like readings side by side, the ones around both). Where no
-    reading precedes, ``before`` (the reference price that the row quotes) stands in; a reading near a ``before`` that is itself
-    off the last reading follows a reset of the level and is no break. A last reading has nothing that it could return to and is no break. Sources
-    with a null key are judged together as one source. Nulls are never flagged.
+    ``rows`` has one row for a source and day. A reading is off if its logarithm lies, on the same side and by more than
+    ``least``, off the median of the three good readings before and of the three after it, and so do the reading just
+    before and just after it (or, of two like readings side by side, the ones around both). Where no reading precedes,
+    ``before`` (the reference price that the row quotes) stands in; a reading near a ``before`` that is itself off the last
+    reading follows a reset of the level and is none. A last reading has nothing that it could return to and is none.
     """
     bad = impossible(F.col(value), positive=True)
     rows = rows.withColumns({"_bad": bad & F.col(value).isNotNull(), "_x": F.when(F.col(value).isNotNull() & ~bad, F.ln(value))})
     over = f"over (partition by `{source}` order by `{day}`)"
     near = {f"_{s}{k}": F.expr(f"{f}(_x, {k}) ignore nulls {over}") for s, f in (("p", "lag"), ("n", "lead")) for k in (1, 2, 3)}
     rows = rows.withColumns(near)
-    if before is not None:
-        rows = rows.withColumn("_p1", F.when(F.col("_p1").isNull() & (before > 0) & ~F.isnan(before), F.ln(before)).otherwise(F.col("_p1")))
-    x, p1, p2, n1, n2 = (F.col(c) for c in ("_x", "_p1", "_p2", "_n1", "_n2"))
-    up = x - _median3(p1, p2, F.col("_p3"))
-    rows = with_range(rows.withColumn("_d", up), source, day, "_d", expand)
+    quoted = F.when((before > 0) & ~F.isnan(before), F.ln(before)) if before is not None else F.lit(None).cast("double")
+    x, p1, p2, p3, n1, n2, n3 = (F.col(c) for c in ("_x", "_p1", "_p2", "_p3", "_n1", "_n2", "_n3"))
+    first = F.coalesce(p1, quoted)
 
     def off(a: Column, b: Column) -> Column:
         """How far x lies off both a and b, signed; 0 if between them."""
-        least_up, least_down = F.least(x - a, x - b), F.greatest(x - a, x - b)
-        return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(least_up > 0, least_up).when(least_down < 0, least_down).otherwise(F.lit(0.0))
+        up, down = F.least(x - a, x - b), F.greatest(x - a, x - b)
+        return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(up > 0, up).when(down < 0, down).otherwise(F.lit(0.0))
+
+    before3 = _median3(first, p2, p3)
+    wide = off(before3, _median3(n1, n2, n3))
+    close_by = F.greatest(F.abs(off(first, n1)), F.abs(off(first, n2)), F.abs(off(p2, n1)))
+    reset = F.coalesce((F.abs(quoted - first) > 0.05) & (F.abs(quoted - x) < least), F.lit(False))
+    rows = rows.withColumns({"_step": x - before3, "_off": F.when((F.abs(wide) > least) & (close_by > least) & ~reset, wide)})
+    return rows.drop("_x", *near)
+
 
-    wide = off(_median3(p1, p2, F.col("_p3")), _median3(n1, n2, F.col("_n3")))
-    close_by = F.greatest(F.abs(off(p1, n1)), F.abs(off(p1, n2)), F.abs(off(p2, n1)))
-    outside = ((wide > F.coalesce("_hi", F.lit(0.0))) & (wide > least)) | ((wide < F.coalesce("_lo", F.lit(0.0))) & (wide < -least))
-    off_level = outside & (close_by > least)
-    if before is not None:
-        # quoted against a reference price that itself left the last reading: the level was reset, as on an ex date
-        reset = (before > 0) & (F.abs(F.ln(F.when(before > 0, before)) - p1) > 0.05) & (F.abs(F.ln(F.when(before > 0, before)) - x) < least)
-        off_level = off_level & ~F.coalesce(reset, F.lit(False))
-    return rows.withColumn("_break", F.coalesce(off_level, F.lit(False))).drop("_d", "_lo", "_hi", *near, "_x")
+def leaves_range(value: Column, name: str) -> Column:
+    """Whether a value lies outside its fences (:func:`with_normal_ranges`); null values and sources without readings don't."""
+    return F.coalesce((value > F.col(f"_hi_{name}")) | (value < F.col(f"_lo_{name}")), F.lit(False))
 
 
 def with_stuck(rows: DataFrame, source: str, day: str, values: list[str], moving: Column, least: int = STUCK_RUN) -> DataFrame:
     """``rows`` with boolean ``_stuck_{value}``: each reading after the first of a run of ``least`` or more equal readings on
     consecutive rows where ``moving`` is true. A null reading or a row that isn't moving ends a run."""
     w = Window.partitionBy(source).orderBy(day)
-    rows = rows.withColumn("_go", F.coalesce(moving, F.lit(False)))
-    for v in values:
-        new = ~F.coalesce((F.col(v) == F.lag(v).over(w)) & F.col("_go") & F.lag("_go").over(w), F.lit(False))
-        rows = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
-        # hash partitioning by source serves (source, run) too: a sort, no shuffle
-        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(source, "_run"))).withColumn(f"_stuck_{v}", (F.col("_n") >= least) & (F.col("_new") == 0))
-    return rows.drop("_new", "_run", "_n", "_go")
+    go, n = F.coalesce(moving, F.lit(False)), least - 2
+    rows = rows.withColumn("_go", go)
+    same = {f"_same_{v}": F.coalesce((F.col(v) == F.lag(v).over(w)) & F.col("_go") & F.lag("_go").over(w), F.lit(False)) for v in values}
+    rows = rows.withColumns(same)
+    # least - 1 repetitions in a row end at some row from here on that still includes this one
+    rows = rows.withColumns({f"_full_{v}": F.min(f"_same_{v}").over(w.rowsBetween(-n, 0)) for v in values})
+    rows = rows.withColumns({f"_stuck_{v}": F.col(f"_same_{v}") & F.max(f"_full_{v}").over(w.rowsBetween(0, n)) for v in values})
+    return rows.drop("_go", *same, *(f"_full_{v}" for v in values))
 
 
-def rate_breaks(rows: DataFrame, source: str, day: str, rate: str, level: str, level_bad: str, before: str, change: str, expand: float = 3.0, least: float = 4.0) -> DataFrame:
-    """``rows`` with boolean ``_rate_bad`` for a rate of change in percent that has a level beside it.
+def rate_breaks(rows: DataFrame, source: str, day: str, rate: str, level: str, level_bad: str, before: str, change: str, least: float = 4.0) -> DataFrame:
+    """``rows`` (with the fences of ``rate``) with boolean ``_rate_bad`` for a rate of change in percent that has a level beside it.
 
     A rate of -100 or less, NaN and filler numbers are impossible. A rate outside the fences of its source is borne out,
     and so no case, if it agrees with the change of the level from ``before`` or from the last good level; where the level
@@ -116,8 +123,7 @@ def rate_breaks(rows: DataFrame, source: str, day: str, rate: str, level: str, l
     w = Window.partitionBy(source).orderBy(day)
     good = F.when(~F.col(level_bad) & F.col(level).isNotNull(), F.col(level))
     rows = rows.withColumn("_good", good)
-    rows = rows.withColumns({"_was": F.last("_good", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_badwas": F.lag(level_bad).over(w)})
-    rows = with_range(rows.withColumn("_r", F.when(~impossible(F.col(rate), False), F.col(rate))), source, day, "_r", expand)
+    rows = rows.withColumn("_was", F.last("_good", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     r = F.col(rate)
     gain = lambda to, of: F.when((of > 0) & ~F.isnan(of), (to / of - 1) * 100)
     off = lambda *by: reduce(F.least, [F.coalesce(F.abs(r - g), F.lit(1e18)) for g in by])
@@ -125,11 +131,10 @@ def rate_breaks(rows: DataFrame, source: str, day: str, rate: str, level: str, l
     follows = off(gain(F.col(level), F.col(before)), gain(F.col(level), F.col("_was")))
     said = F.when(F.col(before) > 0, F.col(change) / F.col(before) * 100)
     apart = F.greatest(F.lit(least), F.abs(r) * 0.25)
-    outside = (r > F.col("_hi")) | (r < F.col("_lo"))
     judged = (
         F.when(F.col(level).isNull(), (F.abs(r - said) > apart) | (said.isNull() & (F.abs(r) > 31)))
         .when(F.col(level_bad), (follows < 1) | ((F.abs(r - said) > apart) & (F.abs(r) > 12)))
         .otherwise(borne > apart)
     )
-    wrong = impossible(r, False) | (r <= -100) | (outside & judged)
-    return rows.withColumn("_rate_bad", F.coalesce(wrong & r.isNotNull(), F.lit(False))).drop("_good", "_was", "_badwas", "_r", "_lo", "_hi")
+    wrong = impossible(r, False) | (r <= -100) | (leaves_range(r, rate) & judged)
+    return rows.withColumn("_rate_bad", F.coalesce(wrong & r.isNotNull(), F.lit(False))).drop("_good", "_was")

@@ -15,8 +15,9 @@ from ..operators.impute import fill_from_similar
 from ..operators.intervals import coverage
 from ..operators.ledger import bitemporal_ledger, periods
 from ..operators.rolling import trailing_totals
-from ..operators.spikes import level_breaks, rate_breaks, with_stuck
+from ..operators.spikes import impossible, leaves_range, level_candidates, rate_breaks, with_normal_ranges, with_stuck
 from ..operators.versions import attributes_at
+from ..session import written
 from ..sources.tables import coded, daily_rows, distinct_rows, table
 
 
@@ -77,16 +78,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    traded = F.coalesce(F.col("amount") != 0, F.lit(True))
     rows = daily_rows(spark, d, "close", "pct_chg", "pre_close", "change", "amount")
-    rows = level_breaks(rows, "ts_code", "day", "close", before=F.col("pre_close"))
-    rows = with_stuck(rows, "ts_code", "day", ["close", "pct_chg"], F.coalesce(F.col("amount") != 0, F.lit(True)))
-    rows = rows.withColumn("_close_bad", F.col("_bad") | F.col("_break") | F.col("_stuck_close"))
+    rows = level_candidates(rows, "ts_code", "day", "close", before=F.col("pre_close"))
+    rows = written(with_stuck(rows, "ts_code", "day", ["close", "pct_chg"], traded))
+    rates = F.when(~impossible(F.col("pct_chg"), False), F.col("pct_chg"))
+    rows = with_normal_ranges(rows, "ts_code", "day", {"close": (F.col("_step"), 2.0), "pct_chg": (rates, 3.0)})
+    rows = rows.withColumn("_close_bad", F.col("_bad") | F.col("_stuck_close") | leaves_range(F.col("_off"), "close"))
     rows = rate_breaks(rows, "ts_code", "day", "pct_chg", "close", "_close_bad", "pre_close", "change")
-    traded = F.coalesce(F.col("amount") != 0, F.lit(True))
-    fields = F.array_compact(F.array(F.when(F.col("_close_bad") & traded, "close"), F.when((F.col("_rate_bad") | F.col("_stuck_pct_chg")) & traded, "pct_chg")))
-    found = rows.select("ts_code", "day", F.explode(fields).alias("field"))
-    factors = level_breaks(distinct_rows(spark, d, "adj_factor", "adj_factor"), "ts_code", "day", "adj_factor", least=0.01)
-    found = found.unionByName(factors.filter(F.col("_bad") | F.col("_break")).select("ts_code", "day", F.lit("adj_factor").alias("field")))
+    fields = F.array_compact(F.array(F.when(F.col("_close_bad"), "close"), F.when(F.col("_rate_bad") | F.col("_stuck_pct_chg"), "pct_chg")))
+    found = rows.filter(traded).select("ts_code", "day", F.explode(fields).alias("field"))
+
+    factors = written(level_candidates(distinct_rows(spark, d, "adj_factor", "adj_factor"), "ts_code", "day", "adj_factor", least=0.01))
+    factors = with_normal_ranges(factors, "ts_code", "day", {"adj_factor": (F.col("_step"), 2.0)})
+    factors = factors.filter(F.col("_bad") | leaves_range(F.col("_off"), "adj_factor"))
+    found = found.unionByName(factors.select("ts_code", "day", F.lit("adj_factor").alias("field")))
     return found.select("ts_code", day_string("day").alias("trade_date"), "field")
 
 

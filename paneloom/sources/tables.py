@@ -21,9 +21,9 @@ def daily_rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The row that counts of each (ts_code, day): the one ingested last. ``day`` is a day number; rows without a date have none."""
     raw = table(spark, folder, "daily").select("ts_code", "trade_date", "ingested_at", *columns)
     keyed = coded(raw, "trade_date").withColumnRenamed("trade_date", "day")
-    # one maximum of a struct: combined before the shuffle, so that a much repeated key costs nothing
-    row = latest(F.struct(*columns), "ingested_at").alias("_row")
-    return keyed.filter(F.col("day").isNotNull()).groupBy("ts_code", "day").agg(row).select("ts_code", "day", "_row.*")
+    # Combined before the shuffle, so that a much repeated key costs nothing; a maximum for each column (rows that share
+    # the latest time are equal) keeps to hash aggregation, which a struct of them would not.
+    return keyed.filter(F.col("day").isNotNull()).groupBy("ts_code", "day").agg(*(latest(c, "ingested_at").alias(c) for c in columns))
 
 
 def distinct_rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
