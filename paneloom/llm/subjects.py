@@ -67,7 +67,8 @@ def sentence_phrases(texts: list[str | None], ids: dict[str, int]) -> tuple[np.n
     size = np.fromiter(map(len, flat), np.int64, len(flat))
     tok = np.fromiter(map(ids.__getitem__, chain.from_iterable(flat)), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(len(flat)), size)
-    sentence = np.cumsum(tok == _STOP)
+    stop = (tok == _STOP).astype(np.int64)
+    sentence = np.cumsum(stop) - stop  # an end belongs to the sentence that it ends
     word = (tok >= 0) & (tok < _CJK)
     cjk = tok >= _CJK
     three = np.nonzero(cjk[:-2] & cjk[1:-1] & cjk[2:])[0] if len(tok) > 2 else np.zeros(0, np.int64)
