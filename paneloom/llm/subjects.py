@@ -31,28 +31,32 @@ from ..session import written
 #: A phrase is a node if it stands in at least this share of the sentences (rarer ones, mostly names, link too little)
 #: and in at most that share (commoner ones belong to no subject).
 LEAST_SHARE, MOST_SHARE = 0.001, 0.03
-ROUNDS = 4
+ROUNDS = 3
 #: Score that a sentence must reach to be devoted to its best subject, in nats of purity-weighted lift.
 DEVOTED = 1.0
 #: Share of the sentences with a subject that a subject must have to be one of the document's.
 SUBJECT_SHARE = 0.25
 PRIOR = 0.5
 
-_TOKENS = re.compile(r"[a-z]+|[㐀-鿿]|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
+#: Identifiers and calls, words, runs of ideographs, numbers, sentence ends.
+_TOKENS = re.compile(r"[a-z0-9]+[_(]\S*|[a-z]+|[㐀-鿿]+|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
 _CJK, _STOP, _NUMBER = 1 << 40, -1, -2
 
 
 class _Ids(dict):
-    """Token -> id: 32-bit checksum of a word, code point + _CJK of an ideograph, _STOP of a sentence end, _NUMBER."""
+    """Token -> id: 32-bit checksum of a word, _CJK of a run of ideographs, _STOP of a sentence end,
+    _NUMBER of what is no phrase: numbers, identifiers and calls."""
 
     def __missing__(self, token: str) -> int:
         c = token[0]
-        if "a" <= c <= "z":
-            own = zlib.crc32(token.encode())
-        elif c.isdigit():
+        if c.isdigit() or "_" in token or "(" in token:
             own = _NUMBER
+        elif "a" <= c <= "z":
+            own = zlib.crc32(token.encode())
         else:
-            own = _CJK + ord(c) if ord(c) >= 0x3400 else _STOP
+            own = _STOP if ord(c) < 0x3100 else _CJK
+            if own == _CJK:
+                return own  # runs are too many to remember
         self[token] = own
         return own
 
@@ -60,22 +64,27 @@ class _Ids(dict):
 def sentence_phrases(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, number of the sentence, phrase) of all distinct edges, in this order. Case, width and compatibility
     forms don't matter; numbers are no phrases; null, empty and wordless texts have no edge."""
-    flat: list[list[str]] = []
+    found: list[list[str]] = []
     for t in texts:
         t = t or ""
-        flat.append(_TOKENS.findall((t if t.isascii() else unicodedata.normalize("NFKC", t)).lower() + "\n"))
-    size = np.fromiter(map(len, flat), np.int64, len(flat))
-    tok = np.fromiter(map(ids.__getitem__, chain.from_iterable(flat)), np.int64, int(size.sum()))
-    doc = np.repeat(np.arange(len(flat)), size)
+        found.append(_TOKENS.findall((t if t.isascii() else unicodedata.normalize("NFKC", t)).lower() + "\n"))
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    flat = list(chain.from_iterable(found))
+    tok = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat))
+    doc = np.repeat(np.arange(len(found)), size)
     stop = (tok == _STOP).astype(np.int64)
     sentence = np.cumsum(stop) - stop  # an end belongs to the sentence that it ends
     word = (tok >= 0) & (tok < _CJK)
-    cjk = tok >= _CJK
-    three = np.nonzero(cjk[:-2] & cjk[1:-1] & cjk[2:])[0] if len(tok) > 2 else np.zeros(0, np.int64)
+    runs = np.nonzero(tok == _CJK)[0]
+    strings = [flat[i] for i in runs]
+    length = np.fromiter(map(len, strings), np.int64, len(strings))
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    head = np.nonzero(np.arange(len(points)) + 2 < np.repeat(length.cumsum(), length))[0]
+    three = np.repeat(runs, length)[head]
     with np.errstate(over="ignore"):
-        mixed = tok[three].astype(np.uint64)
+        mixed = points[head]
         for j in (1, 2):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + tok[three + j].astype(np.uint64)
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + points[head + j]
             mixed ^= mixed >> np.uint64(31)
     at = np.concatenate([np.nonzero(word)[0], three])
     phrase = np.concatenate([tok[word], (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)])
