@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import problem_sql, problems
+from . import factors, problem_sql, problems
+
+MODULES = (factors,)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    found = dict(problems.QUERIES)
+    for m in MODULES:
+        found |= m.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problem_sql.SQL)
+    found = dict(problem_sql.SQL)
+    for m in MODULES:
+        found |= m.SQL
+    return found
