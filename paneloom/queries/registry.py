@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import factors, problem_sql, problems
+from . import factors, language, problem_sql, problems
 
-MODULES = (factors,)
+MODULES = (factors, language)
 
 
 def queries() -> dict:
