@@ -135,9 +135,7 @@ def _cross(node: Node, a: list[str], i: str, s: str, g: str) -> str:
     return f"cast({agg}({x}) over {w} as double)"
 
 
-def select(base: str, signals: dict[str, Node], keep: list[str], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str = "industry", digits: int = 6, tail: str = "") -> str:
-    """Common table expressions for ``signals`` over the relation ``base`` (whose own expressions come before) and the final
-    select: ``keep`` and each signal, rounded; not finite is null."""
+def _parts(base: str, signals: dict[str, Node], keep: list[str], instrument: str, order: str, session: str, group: str, digits: int) -> tuple[list[str], str]:
     known: set[Node] = set()
     ctes, at = [], base
     for number, (what, nodes) in enumerate(schedule(list(signals.values()))):
@@ -154,5 +152,17 @@ def select(base: str, signals: dict[str, Node], keep: list[str], instrument: str
         known |= set(nodes)
         at = f"s{number}"
     cols = [*keep, *(f"round(case when isfinite({text(v, known)}) then {text(v, known)} end, {digits}) + 0.0 as {c}" for c, v in signals.items())]
-    return "".join(f", {c}" for c in ctes) + f" select {', '.join(cols)} from {at} {tail}"
+    return ctes, f"select {', '.join(cols)} from {at}"
+
+
+def select(base: str, signals: dict[str, Node], keep: list[str], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str = "industry", digits: int = 6) -> str:
+    """Common table expressions for ``signals`` over the relation ``base`` (whose own expressions come before) and the final
+    select: ``keep`` and each signal, rounded; not finite is null."""
+    ctes, last = _parts(base, signals, keep, instrument, order, session, group, digits)
+    return "".join(f", {c}" for c in ctes) + " " + last
+
 
+def named(name: str, base: str, signals: dict[str, Node], keep: list[str], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str = "industry", digits: int = 6) -> str:
+    """The same as further common table expressions, the last of them ``name``."""
+    ctes, last = _parts(base, signals, keep, instrument, order, session, group, digits)
+    return "".join(f", {c}" for c in [*ctes, f"{name} as ({last})"])

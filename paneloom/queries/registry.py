@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import factors, language, problem_sql, problems
+from . import factors, language, problem_sql, problems, relational
 
-MODULES = (factors, language)
+MODULES = (factors, language, relational)
 
 
 def queries() -> dict:
