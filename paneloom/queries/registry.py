@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import factors, language, problem_sql, problems, relational
+from . import factors, language, problem_sql, problems, relational, statistics
 
-MODULES = (factors, language, relational)
+MODULES = (factors, language, relational, statistics)
 
 
 def queries() -> dict:

@@ -64,10 +64,10 @@ def panel_sql(fields: list[str] | None = None, industry: bool = False) -> str:
     fin = lambda c: f"case when isfinite({c}) then {c} end"
     d = [f for f in fields if f in DAILY]
     pick = "".join(f", max_by(struct_pack(v := {fin(DAILY[f])}), ingested_at).v as {f}" for f in d)
-    sql = f"""with cal as (select cal_date as trade_date, row_number() over (order by cal_date) as idx from trade_cal where is_open = 1),
+    sql = f"""with cal as (select cal_date as trade_date, cast(row_number() over (order by cal_date) as int) as idx from trade_cal where is_open = 1),
 rows_ as (select {code} as ts_code, idx{pick} from daily join cal using (trade_date) group by all),
 spans as (select ts_code, min(idx) as a, max(idx) as b from rows_ group by 1),
-grid as (select ts_code, unnest(range(a, b + 1)) as idx from spans)"""
+grid as (select ts_code, cast(unnest(range(a, b + 1)) as int) as idx from spans)"""
     joins = " left join rows_ using (ts_code, idx)"
     for name, columns in (("daily_basic", BASIC), ("adj_factor", FACTOR), ("stk_limit", LIMIT)):
         wanted = {f: c for f, c in columns.items() if f in fields}
