@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import factors, language, problem_sql, problems, relational, statistics
+from . import analytics, factors, language, problem_sql, problems, relational, statistics, streams
 
-MODULES = (factors, language, relational, statistics)
+MODULES = (factors, language, relational, statistics, analytics, streams)
 
 
 def queries() -> dict:
