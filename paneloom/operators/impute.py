@@ -38,7 +38,10 @@ class Prototypes:
 
 def fit_prototypes(rows: DataFrame, numeric: list[str], categorical: list[str], k: int, rounds: int) -> Prototypes:
     """k-prototypes over all rows: ``rounds`` scans after one for scale and start. Starts are joint quantiles, so that a fit
-    is repeatable. An empty table gives one centre."""
+    is repeatable. An empty table gives one centre, as does one
+    without features."""
+    if not numeric and not categorical:
+        return Prototypes([], [], [], [], [([], [])])
     at = [(i + 0.5) / k for i in range(k)]
     aggs = [a for f in numeric for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"), F.percentile_approx(f, at, 1000).alias(f"q_{f}"))]
     first = rows.agg(F.count(F.lit(1)).alias("n"), *aggs, *(F.mode(c, True).alias(f"c_{c}") for c in categorical)).first()
