@@ -32,8 +32,9 @@ from ..session import written
 #: and in at most that share (commoner ones belong to no subject).
 LEAST_SHARE, MOST_SHARE = 0.001, 0.03
 ROUNDS = 3
-#: Score that a sentence must reach to be devoted to its best subject, in nats of purity-weighted lift.
-DEVOTED = 1.0
+#: Score that a sentence must reach to be devoted to its best subject: purity-weighted log lift, in units of the greatest
+#: lift of one phrase (the logarithm of the number of subjects).
+DEVOTED = 0.455
 #: Share of the sentences with a subject that a subject must have to be one of the document's.
 SUBJECT_SHARE = 0.25
 PRIOR = 0.5
@@ -129,6 +130,7 @@ class Graph:
     def __init__(self, phrases: np.ndarray, k: int) -> None:
         self.phrases, self.k = phrases, k
         self.vote = np.zeros((len(phrases), k))
+        self.devoted = DEVOTED * np.log(max(2, k))
 
     def learn(self, sums: np.ndarray) -> None:
         """Phrase step: from the summed labels of its sentences a phrase gets, for each subject, log of lift times purity."""
@@ -170,7 +172,7 @@ def _round(edges: DataFrame, graph: Graph, first: bool) -> np.ndarray:
                 label = np.exp(2 * (score - score.max(1, keepdims=True)))
                 clamp = batch.column("trusted").fill_null(False).to_numpy(zero_copy_only=False)[row]
                 label = np.where(clamp[:, None], label * (seeds[row] > 0), label)
-                label = label / np.maximum(label.sum(1, keepdims=True), 1e-12) * (score.max(1, keepdims=True) > DEVOTED)
+                label = label / np.maximum(label.sum(1, keepdims=True), 1e-12) * (score.max(1, keepdims=True) > own.devoted)
             part = np.stack([np.bincount(at, label[owner, j], len(own.phrases)) for j in range(k)], 1)
             sums = part if sums is None else sums + part
         if sums is not None and len(sums):
@@ -223,7 +225,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: list[tuple[s
         own = shared.value
         for batch in batches:
             row, _, _, score = own.sentences(batch)
-            devoted = score.max(1) > DEVOTED if len(score) else np.zeros(0, bool)
+            devoted = score.max(1) > own.devoted if len(score) else np.zeros(0, bool)
             n = np.zeros((batch.num_rows, k), np.int64)
             np.add.at(n, (row[devoted], score[devoted].argmax(1)), 1)
             share = n / np.maximum(1, n.sum(1, keepdims=True))
