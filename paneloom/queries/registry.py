@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, factors, language, problem_sql, problems, relational, statistics, streams
+from . import analytics, extended, factors, language, problem_sql, problems, relational, statistics, streams
 
-MODULES = (factors, language, relational, statistics, analytics, streams)
+MODULES = (factors, language, relational, statistics, analytics, streams, extended)
 
 
 def queries() -> dict:

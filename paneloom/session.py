@@ -47,3 +47,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/paneloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that :func:`written` and the streams left in the shared folder; for the end of an application."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/paneloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
