@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from .nodes import Node
-from .spark_backend import TINY, schedule
+from .spark_backend import TINY, ema_frame, schedule
 
 
 def _num(x: float) -> str:
@@ -64,7 +62,7 @@ def _time(node: Node, a: list[str], i: str, o: str) -> str:
     if op == "ema":
         alpha, adjust, least = p
         b = 1 - alpha
-        n = max(2, math.ceil(36.8 / -math.log(b)))
+        n = ema_frame(alpha)
         frame = f"(partition by {i} order by {o} rows {n - 1} preceding)"
         # lists keep their nulls here: the place in the list is the age
         own = f"list({x}) over {frame}"

@@ -65,12 +65,6 @@ def _snap(sd: Column, centre: Column) -> Column:
     return F.when(sd <= F.abs(centre) * TINY, 0.0).otherwise(sd)
 
 
-def _corr(u: Column, v: Column, w: Window) -> Column:
-    """Correlation over a frame; null where either side is constant (the built-in one divides by zero there)."""
-    su, sv = (_snap(F.stddev_pop(c).over(w), F.avg(c).over(w)) for c in (u, v))
-    return F.when((su > 0) & (sv > 0), F.covar_pop(u, v).over(w) / (su * sv))
-
-
 class Keys:
     def __init__(self, instrument: str, order: str, session: str, group: str | None) -> None:
         self.instrument, self.order, self.session, self.group = instrument, order, session, group
@@ -85,9 +79,37 @@ class Keys:
         return Window.partitionBy(self.instrument).orderBy(self.order)
 
 
-def _time(node: Node, a: list[Column], k: Keys) -> Column:
+class Frames:
+    """Window aggregates that the operators of a step ask for, each computed once: a mean, a deviation and their guards over the same
+    frame share their parts. Asking gives the name of a column; ``columns`` makes them all."""
+
+    AGGREGATES = {"count": F.count, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "sd": F.stddev_samp, "sdp": F.stddev_pop, "skew": F.skewness, "kurt": F.kurtosis, "list": F.collect_list}
+
+    def __init__(self, keys: Keys) -> None:
+        self.keys = keys
+        self.asked: dict[tuple, tuple[str, Column]] = {}
+
+    def _ask(self, key: tuple, make) -> Column:
+        if key not in self.asked:
+            self.asked[key] = (f"_f{len(self.asked)}", make())
+        return F.col(self.asked[key][0])
+
+    def over(self, how: str, name: str, x: Column, n: int | None) -> Column:
+        """Aggregate ``how`` of x (known as ``name``) over n trailing sessions, or over all so far."""
+        w = lambda: self.keys.so_far() if n is None else self.keys.trailing(n)
+        return self._ask((how, name, n), lambda: self.AGGREGATES[how](x).over(w()))
+
+    def pair(self, how: str, names: tuple[str, str], a: Column, b: Column, n: int) -> Column:
+        make = {"cov": F.covar_samp, "covp": F.covar_pop, "slope": F.regr_slope}[how]
+        return self._ask((how, *names, n), lambda: make(a, b).over(self.keys.trailing(n)))
+
+    def columns(self) -> dict[str, Column]:
+        return dict(self.asked.values())
+
+
+def _time(node: Node, a: list[Column], k: Keys, f: Frames) -> Column:
     op, p = node.op, node.par
-    x = a[0]
+    x, name = a[0], node.args[0].key
     if op == "lag":
         return F.lag(x, p[0]).over(k.along())
     if op == "lead":
@@ -100,43 +122,44 @@ def _time(node: Node, a: list[Column], k: Keys) -> Column:
             return F.sum(x).over(w)
         return F.col(k.order) - F.last(F.when(x != 0, F.col(k.order)), ignorenulls=True).over(w)
     if op == "ema":
-        return _ema(node, x, k)
+        return _ema(node, x, k, f)
     if op == "wz":  # over the whole series, later sessions included
         w = Window.partitionBy(k.instrument)
         sd = _snap(F.stddev_samp(x).over(w), F.avg(x).over(w))
         return F.when(sd > 0, (x - F.percentile(x, F.lit(0.5)).over(w)) / sd)
     n, least = p[0], p[1]
-    w = k.trailing(n)
-    if op in ("corr", "cov", "slope2"):
+    get = lambda how: f.over(how, name, x, n)
+    spread = lambda nm, c: _snap(f.over("sdp", nm, c, n), f.over("avg", nm, c, n))
+    if op in ("corr", "cov"):
         y = a[1]
-        pair = x.isNotNull() & y.isNotNull()
-        u, v = F.when(pair, x), F.when(pair, y)
-        enough = F.count(u).over(w) >= least
+        both = x.isNotNull() & y.isNotNull()
+        names = (f"{name}|{node.args[1].key}", f"{node.args[1].key}|{name}")
+        u, v = F.when(both, x), F.when(both, y)
+        enough = f.over("count", names[0], u, n) >= least
         if op == "cov":
-            return F.when(enough, F.covar_samp(u, v).over(w))
-        return F.when(enough, _corr(u, v, w))
-    enough = F.count(x).over(w) >= least
+            return F.when(enough, f.pair("cov", names, u, v, n))
+        return F.when(enough, _ratio(f.pair("covp", names, u, v, n), spread(names[0], u), spread(names[1], v)))
+    held = get("count")
+    enough = held >= least
     if op == "count":
-        return F.count(x).over(w).cast("double")
+        return held.cast("double")
     if op in ("slope", "rsq"):
         t = F.when(x.isNotNull(), F.col(k.order).cast("double"))
         if op == "slope":
-            return F.when(enough & (F.count(x).over(w) > 1), F.regr_slope(x, t).over(w))
-        return F.when(enough, F.pow(_corr(x, t, w), 2))
+            return F.when(enough & (held > 1), f.pair("slope", (name, f"t|{name}"), x, t, n))
+        return F.when(enough, F.pow(_ratio(f.pair("covp", (name, f"t|{name}"), x, t, n), spread(name, x), spread(f"t|{name}", t)), 2))
     if op in ("skew", "kurt"):
-        m = F.count(x).over(w).cast("double")
-        flat = _snap(F.stddev_pop(x).over(w), F.avg(x).over(w)) == 0
+        m = held.cast("double")
         if op == "skew":
-            value = F.skewness(x).over(w) * F.sqrt(m * (m - 1)) / F.when(m > 2, m - 2)
+            value = get("skew") * F.sqrt(m * (m - 1)) / F.when(m > 2, m - 2)
         else:
-            value = ((m + 1) * F.kurtosis(x).over(w) + 6) * (m - 1) / F.when(m > 3, (m - 2) * (m - 3))
-        return F.when(enough & ~flat, value)
+            value = ((m + 1) * get("kurt") + 6) * (m - 1) / F.when(m > 3, (m - 2) * (m - 3))
+        return F.when(enough & (spread(name, x) > 0), value)
     if op in ("std", "var"):
-        sd = F.stddev_samp(x).over(w) if p[2] else F.stddev_pop(x).over(w)
-        sd = _snap(sd, F.avg(x).over(w))
+        sd = _snap(get("sd" if p[2] else "sdp"), get("avg"))
         return F.when(enough, sd if op == "std" else sd * sd)
     if op in ("tsrank", "decay", "median"):
-        own = F.collect_list(x).over(w)
+        own = get("list")
         if op == "tsrank":
             below, equal = (F.size(F.filter(own, lambda e: e < x)), F.size(F.filter(own, lambda e: e == x)))
             return F.when(enough & x.isNotNull(), (below + (equal + 1) / 2))
@@ -144,36 +167,46 @@ def _time(node: Node, a: list[Column], k: Keys) -> Column:
             return F.when(enough, F.sort_array(own)[F.floor((F.size(own) - 1) / 2).cast("int")] / 2 + F.sort_array(own)[F.floor(F.size(own) / 2).cast("int")] / 2)
         weighted = F.aggregate(F.transform(own, lambda e, i: e * (i + 1)), F.lit(0.0), lambda s, e: s + e)
         return F.when(enough, weighted / (F.size(own) * (F.size(own) + 1) / 2))
-    agg = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[op]
-    return F.when(enough, agg(x).over(w))
+    return F.when(enough, get({"mean": "avg"}.get(op, op)))
+
+
+def _ratio(covariance: Column, sx: Column, sy: Column) -> Column:
+    """Correlation from its parts; null where either side is constant (the built-in one divides by zero there)."""
+    return F.when((sx > 0) & (sy > 0), covariance / (sx * sy))
+
+
+#: What lies beyond an exponential mean's frame weighs less than exp(-BEYOND) of it.
+BEYOND = 27.7
+
+
+def ema_frame(alpha: float) -> int:
+    return max(2, math.ceil(BEYOND / -math.log(1 - alpha)))
 
 
-def _ema(node: Node, x: Column, k: Keys) -> Column:
+def _ema(node: Node, x: Column, k: Keys, f: Frames) -> Column:
     """First-order recursion as sums over a frame: weights grow within blocks as long as the frame, of which a frame
-    touches two, so that nothing overflows; what lies beyond the frame weighs less than 1e-16."""
+    touches two, so that nothing overflows."""
     alpha, adjust, least = node.par
-    b = 1 - alpha
-    size = max(2, math.ceil(36.8 / -math.log(b)))
+    b, name = 1 - alpha, node.args[0].key
+    size = ema_frame(alpha)
     pos = F.col(k.order)
     inside, parity = pos % size, F.floor(pos / size) % 2
-    if not adjust:
-        head = F.first(F.when(x.isNotNull(), pos), ignorenulls=True).over(k.so_far())
-        seen = F.when(pos == head, x / alpha).otherwise(x)
-    else:
-        seen = x
     grow = F.pow(F.lit(1 / b), inside)
-    w = k.trailing(size)
 
-    def weighed(value: Column) -> Column:
-        even = F.coalesce(F.sum(F.when(parity == 0, value * grow)).over(w), F.lit(0.0))
-        odd = F.coalesce(F.sum(F.when(parity == 1, value * grow)).over(w), F.lit(0.0))
+    def weighed(value: Column, what: str) -> Column:
+        half = lambda side: F.coalesce(f.over("sum", f"{what}|{name}|{alpha}|{side}", F.when(parity == side, value * grow), size), F.lit(0.0))
+        even, odd = half(0), half(1)
         own, other = F.when(parity == 0, even).otherwise(odd), F.when(parity == 0, odd).otherwise(even)
         return own * F.pow(F.lit(b), inside) + other * F.pow(F.lit(b), inside + size)
 
-    enough = F.count(x).over(k.so_far()) >= least
+    enough = f.over("count", name, x, None) >= least
     if adjust:
-        return F.when(enough, weighed(seen) / weighed(F.when(x.isNotNull(), 1.0)))
-    return F.when(enough, weighed(seen) * alpha)
+        return F.when(enough, weighed(x, "x") / weighed(F.when(x.isNotNull(), 1.0), "1"))
+    # the first value starts the recursion with its whole weight: where it lies in the frame, the rest of it is added
+    first = f.over("min", f"at|{name}", F.when(x.isNotNull(), pos), None)
+    value = f._ask(("first", name), lambda: F.first(x, ignorenulls=True).over(k.so_far()))
+    age = pos - first
+    return F.when(enough, weighed(x, "x") * alpha + F.when(age < size, F.pow(F.lit(b), age + 1) * value).otherwise(0.0))
 
 
 def _cross(node: Node, a: list[Column], k: Keys) -> Column:
@@ -245,12 +278,15 @@ def evaluate(panel: DataFrame, signals: dict[str, Node], instrument: str = "ts_c
     k = Keys(instrument, order, session, group)
     known: set[Node] = set()
     for what, nodes in schedule(list(signals.values())):
-        make = _time if what == "time" else _cross
+        frames = Frames(k)
+        make = (lambda n, a, keys: _time(n, a, keys, frames)) if what == "time" else _cross
         # inputs first: an expression under several windows is then computed once
         inputs = {a: None for n in nodes for a in n.args if a not in known and a.op not in ("field", "const")}
         panel = panel.withColumns({a.key: column(a, known) for a in inputs})
         known |= set(inputs)
-        panel = panel.withColumns({n.key: make(n, [column(a, known) for a in n.args], k) for n in nodes})
+        made = {n.key: make(n, [column(a, known) for a in n.args], k) for n in nodes}
+        shared = frames.columns()
+        panel = panel.withColumns(shared).withColumns(made).drop(*shared)
         known |= set(nodes)
     out = {name: column(node, known) for name, node in signals.items()}
     finite = {name: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c) for name, c in out.items()}
