@@ -23,8 +23,8 @@ def evidence_screen(ic: DataFrame, order: str, value: str, year: str, trials: in
     low = lows[0]
     for x in lows[1:]:
         low = low.unionByName(x)
-    agree = turned.groupBy(year).agg(F.avg("_v").alias("_m")).agg(F.avg((F.col("_m") > 0).cast("double")).alias("years"))
-    met = low.agg(F.min("low").alias("low")).crossJoin(agree)  # one row each
+    agree = turned.groupBy(year).agg(F.avg("_v").alias("_m")).agg(F.avg((F.col("_m") > 0).cast("double"))).first()[0]  # one row
+    met = low.agg(F.min("low").alias("low")).withColumn("years", F.lit(agree).cast("double"))
     return met.select(F.lit(sign).alias("direction"), "low", "years", ((F.col("low") > 0) & (F.col("years") >= years)).alias("passed"))
 
 
@@ -96,7 +96,8 @@ def asof_coverage(panel: DataFrame, key: str, order: str, value: str) -> DataFra
     per = own.groupBy(key).agg(F.min(F.when(F.col(value).isNotNull(), (F.col("_at") - 1) / F.col("_n"))).alias("_first"))
     held = F.col(value).isNotNull().cast("double")
     out = own.agg(F.avg(F.when(F.col("_at") * 2 <= F.col("_n"), held)).alias("early"), F.avg(F.when(F.col("_at") * 2 > F.col("_n"), held)).alias("late"), F.avg(F.when(F.col("_at") == F.col("_n"), held)).alias("last"))
-    return per.agg(F.percentile("_first", F.lit(0.5)).alias("first")).crossJoin(out)  # one row each
+    met = per.agg(F.percentile("_first", F.lit(0.5)).alias("first")).unionByName(out, allowMissingColumns=True)
+    return met.agg(*(F.max(c).alias(c) for c in ("first", "early", "late", "last")))
 
 
 def limited_fill(value: str, key: str, order: str, limit: int) -> Column:
@@ -106,6 +107,6 @@ def limited_fill(value: str, key: str, order: str, limit: int) -> Column:
 
 def calendar_series(series: DataFrame, days: DataFrame, order: str, value: str) -> DataFrame:
     """Every session of the calendar between the series' ends, missing ones as null slots."""
-    ends = series.agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
-    grid = days.select(order).join(ends, F.col(order).between(F.col("_a"), F.col("_b"))).select(order)
+    ends = series.agg(F.min(order), F.max(order)).first()  # one row
+    grid = days.select(order).filter(F.col(order).between(ends[0], ends[1]))
     return grid.join(series.select(order, value), order, "left")

@@ -201,12 +201,12 @@ def rel_valuation_channel(spark: SparkSession, d: str) -> DataFrame:
     return dense_panel(spark, d, ["pb"]).select("ts_code", "trade_date", G.limited_fill("pb", "ts_code", "idx", 60).alias("pb"), F.round(place, 6).alias("place"))
 
 
-@query("with g as (select user_id, cast(ts as date) as day, count(*) as flags, round(sum(value), 4) as amount from events where event_type = 'purchase' group by all), u as (select distinct user_id from events), c as (select distinct cast(ts as date) as day from events) select u.user_id, strftime(c.day, '%Y%m%d') as day, coalesce(flags, 0) as flags, coalesce(amount, 0.0) as amount from u cross join c left join g using (user_id, day)")
+@query("with g as (select user_id, cast(ts as date) as day, count(*) as flags, round(sum(value), 4) as amount from events where event_type = 'purchase' group by all), u as (select user_id, cast(min(ts) as date) as a, cast(max(ts) as date) as b from events group by 1), c as (select user_id, unnest(generate_series(a::timestamp, b::timestamp, interval 1 day))::date as day from u) select c.user_id, strftime(c.day, '%Y%m%d') as day, coalesce(flags, 0) as flags, coalesce(amount, 0.0) as amount from c left join g using (user_id, day)")
 def rel_event_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Counts and sums of rare events on the whole grid of keys and days, zero where none happened. The grid is the product of
-    two small distinct sets and is what is asked for."""
+    """Counts and sums of rare events on every day from a key's first event to its last, zero where none happened."""
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    grid = e.select("user_id").distinct().crossJoin(e.select("day").distinct())
+    spans = e.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    grid = spans.select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
     g = e.filter("event_type = 'purchase'").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("flags"), F.round(F.sum("value"), 4).alias("amount"))
     return grid.join(g, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyyMMdd").alias("day"), F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
 

@@ -249,10 +249,12 @@ def rel_ttm(spark: SparkSession, d: str) -> DataFrame:
 @query(P + _PD + f", {_ANN}, ev as (select a.ts_code, min(c.idx) as idx, a.div_id, a.cash_div from ann a join cal c on strptime(c.trade_date, '%Y%m%d')::date >= a.ann group by all), per as (select ts_code, idx, sum(cash_div) as s from ev group by all) select ts_code, trade_date, round(lag(v) over (partition by ts_code order by idx), 6) as cash_div_sum_60 from (select p.ts_code, p.idx, p.trade_date, coalesce(sum(e.s) over (partition by p.ts_code order by p.idx rows 59 preceding), 0.0) as v from panel p left join per e using (ts_code, idx))")
 def rel_event_window(spark: SparkSession, d: str) -> DataFrame:
     """Cash announced in the last 60 sessions, known one session later."""
-    days = sessions(spark, d).select(day_number("trade_date").alias("day"), "idx")
-    nxt = days.withColumn("prev", F.coalesce(F.lag("day").over(Window.orderBy("day")), F.lit(0)))
-    ann = _announced(spark, d)
-    ev = ann.join(nxt, (ann.ann_date <= nxt.day) & (ann.ann_date > nxt.prev)).select("ts_code", "idx", "cash_div")
+    # each calendar day with the session that comes on or after it: an equi-join instead of a range join
+    cal = table(spark, d, "trade_cal").select("cal_date", "is_open").join(sessions(spark, d).withColumnRenamed("trade_date", "cal_date"), "cal_date", "left")
+    after = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)  # one row a calendar day
+    nxt = cal.withColumn("day", day_number("cal_date")).select("day", F.min("idx").over(after).alias("idx")).filter("idx is not null")
+    first = nxt.agg(F.min("day")).first()[0]
+    ev = _announced(spark, d).withColumn("day", F.greatest("ann_date", F.lit(first))).join(nxt, "day").select("ts_code", "idx", "cash_div")
     out = R.event_window(dense_panel(spark, d, ["close"]), ev, "ts_code", "idx", "cash_div", 60)
     return out.select("ts_code", "trade_date", F.round("cash_div_sum_60", 6).alias("cash_div_sum_60"))
 
