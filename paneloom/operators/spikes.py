@@ -28,7 +28,7 @@ def _median3(a: Column, b: Column, c: Column) -> Column:
 
 
 def weekday_context(day: Column) -> Column:
-    return F.pmod(day, F.lit(7))
+    return F.coalesce(F.pmod(day, F.lit(7)), F.lit(-1))
 
 
 def with_normal_ranges(rows: DataFrame, source: str, day: str, values: dict[str, tuple[Column, float]]) -> DataFrame:

@@ -23,7 +23,7 @@ def test_against_brute_force(spark):
                 held = [(s, -10**9 if k is None else k, n, v) for x, s, t, k, n, v in rows if x == e and s is not None and s <= day <= t and (s if k is None else k) <= clock]
                 if held:
                     want[e, day] = max(held)[3]
-        got = {(r["entity"] if False else r[0], d): r["value"] for r in believed_at(ledger, clock).collect() for d in range(r["valid_from"], r["valid_to"] + 1)}
+        got = {(r[0], d): r["value"] for r in believed_at(ledger, clock).collect() for d in range(r["valid_from"], r["valid_to"] + 1)}
         assert got == want
     runs = periods(ledger.filter("recorded_to is null"), "e", "value", "valid_from", "valid_to").collect()
     assert all(a["valid_from"] <= a["valid_to"] for a in runs)
