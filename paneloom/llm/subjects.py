@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from ..session import written
 
-#: A phrase is a node if it stands in at least this share of the sentences (rarer ones, mostly names, link too little)
-#: and in at most that share (commoner ones belong to no subject).
-LEAST_SHARE, MOST_SHARE = 0.001, 0.03
+#: A phrase is a node if it stands in at least this share of the sentences (rarer ones, mostly names, link too little).
+LEAST_SHARE = 0.001
+#: And in at most that share: 1 is no bound. Common words are silenced by their purity; a bound would take its own words
+#: from a subject that holds much of the corpus.
+MOST_SHARE = 1.0
 ROUNDS = 3
 #: Score that a sentence must reach to be devoted to its best subject: purity-weighted log lift, in units of the greatest
 #: lift of one phrase (the logarithm of the number of subjects).
@@ -38,6 +40,8 @@ DEVOTED = 0.455
 #: Share of the sentences with a subject that a subject must have to be one of the document's.
 SUBJECT_SHARE = 0.25
 PRIOR = 0.5
+#: Added to a subject's share of all labels when a phrase's share is divided by it: few labels are no evidence.
+LEAST_CHANCE = 0.01
 
 #: Identifiers and calls, words, runs of ideographs, numbers, sentence ends.
 _TOKENS = re.compile(r"[a-z0-9]+[_(]\S*|[a-z]+|[㐀-鿿]+|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
@@ -133,11 +137,14 @@ class Graph:
         self.devoted = DEVOTED * np.log(max(2, k))
 
     def learn(self, sums: np.ndarray) -> None:
-        """Phrase step: from the summed labels of its sentences a phrase gets, for each subject, log of lift times purity."""
+        """Phrase step: from the summed labels of its sentences a phrase gets, for each subject, log of lift times purity.
+        Sums are taken in proportion to a subject's share of all labels, so that lift and purity don't depend on how much
+        of the corpus a subject holds."""
         chance = (sums.sum(0) + 1e-9) / (sums.sum() + 1e-9 * self.k)
-        p = (sums + PRIOR * chance) / (sums.sum(1, keepdims=True) + PRIOR)
+        lift = (sums + PRIOR * chance) / (sums.sum(1, keepdims=True) + PRIOR) / (chance + LEAST_CHANCE)
+        p = lift / lift.sum(1, keepdims=True)
         purity = np.clip(1 + (p * np.log(p + 1e-9)).sum(1, keepdims=True) / np.log(max(2, self.k)), 0, 1) ** 2
-        self.vote = np.log((p + 1e-3) / (chance + 1e-3)) * purity
+        self.vote = np.log((p + 1e-3) / (1 / self.k + 1e-3)) * purity
 
     def sentences(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row of each sentence, sentence and phrase number of each edge, score of each sentence and subject)."""

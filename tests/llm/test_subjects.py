@@ -45,6 +45,26 @@ def test_held_out_accuracy(spark, monkeypatch):
     assert sum(r["documents"] for r in made) >= 400
 
 
+def found_of(spark, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = S.document_subjects(docs, spark.createDataFrame(labels, "doc_id long, subject string, annotator string"), [(n, f"{TERMS[n][0]} and {TERMS[n][1]}.") for n in NAMES])
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    return got
+
+
+def test_a_subject_that_holds_half_of_the_rows(spark):
+    """Its words are as common as copies make them; the original documents keep their subjects."""
+    rng = random.Random(5)
+    rows, truth = corpus(rng, 300)
+    labels = [(i, s, "a") for i in range(0, 90) for s in sorted(truth[i])]
+    tax = [t for i, t in rows if "tax" in truth[i]]
+    rows += [(1000 + i, tax[i % len(tax)]) for i in range(300)]
+    got = found_of(spark, rows, labels)
+    assert sum(got.get(i, set()) == truth[i] for i in truth) / len(truth) > 0.95
+
+
 def test_empty_and_unlabelled(spark):
     docs = spark.createDataFrame([(1, "Some words here.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject string, annotator string")
