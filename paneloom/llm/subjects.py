@@ -7,9 +7,10 @@ descriptions (trusted seeds, clamped) and spread in rounds: a phrase takes the l
 labels of its phrases. An edge is verified by what its phrase has shown: a phrase whose labels are no purer than chance
 carries nothing. A sentence has one subject or none, a document as many as take a fair share of its sentences.
 
-Edges lie with their document, so a round's sentence step needs no shuffle: the phrase labels, at most
-1 / LEAST_SHARE times a sentence's phrases of them, go to every task, and what is shuffled of a round is one row of
-sums for a phrase and task.
+Edges lie with a block of documents, in a table bucketed by block, and name a phrase by its place among the block's
+distinct phrases. The phrase labels are a table too: a round joins them with the blocks' distinct phrases, sends each block
+its own, and sums a block's labels by phrase before they are shuffled. What a task holds is a block and its phrases,
+however many phrases the corpus has.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
 
-#: A phrase is a node if it stands in at least this share of the sentences (rarer ones, mostly names, link too little).
-LEAST_SHARE = 0.001
-#: And in at most that share: 1 is no bound. Common words are silenced by their purity; a bound would take its own words
+#: A phrase is a node if it stands in at least so many sentences, however large the corpus.
+LEAST_SENTENCES = 3
+#: And in at most that share of them: 1 is no bound. Common words are silenced by their purity; a bound would take its own words
 #: from a subject that holds much of the corpus.
 MOST_SHARE = 1.0
 ROUNDS = 3
@@ -42,6 +45,8 @@ SUBJECT_SHARE = 0.25
 PRIOR = 0.5
 #: Added to a subject's share of all labels when a phrase's share is divided by it: few labels are no evidence.
 LEAST_CHANCE = 0.01
+#: Bytes of text in a block of documents (one document is never split).
+BLOCK = 4 << 20
 
 #: Identifiers and calls, words, runs of ideographs, numbers, sentence ends.
 _TOKENS = re.compile(r"[a-z0-9]+[_(]\S*|[a-z]+|[㐀-鿿]+|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
@@ -100,25 +105,40 @@ def sentence_phrases(texts: list[str | None], ids: dict[str, int]) -> tuple[np.n
     return first[of], of, phrase
 
 
-def _edges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc id, ``sizes``: phrases of each sentence, ``phrases``: those of all sentences, one after another)."""
+def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row a block of documents: (``block``, ``ids``, ``seeds``, ``trusted``, ``counts``: sentences of each document, ``sizes``:
+    phrases of each sentence, ``edges``: places of those phrases in ``phrases``, the block's distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
+        ids, block = _Ids(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            of = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum() // BLOCK
+            cuts = (np.nonzero(np.diff(of))[0] + 1).tolist()
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(at, end - at)
+                if not part.num_rows:
+                    continue
                 if len(ids) > 500_000:
                     ids.clear()
-                doc, sentence, phrase = sentence_phrases(part.column(text).to_pylist(), ids)
+                found, before = [], 0
+                for first in range(0, part.num_rows, 250):  # few enough for the processor's caches
+                    doc, sentence, phrase = sentence_phrases(part.column(text).slice(first, 250).to_pylist(), ids)
+                    found.append((doc + first, sentence + before, phrase))
+                    before += int(sentence[-1]) + 1 if len(sentence) else 0
+                doc, sentence, phrase = (np.concatenate(x) for x in zip(*found))
                 heads = np.nonzero(np.concatenate([[True], np.diff(sentence) != 0]))[0] if len(doc) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(heads, len(doc)))
-                offsets = lambda owner: np.concatenate([[0], np.bincount(owner, minlength=part.num_rows).cumsum()]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets(doc[heads]), sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets(doc), phrase)]
-                yield pa.RecordBatch.from_arrays([part.column(doc_id), *lists], names=[doc_id, "sizes", "phrases"])
+                places = pa.array(phrase).dictionary_encode()
+                lists = [
+                    part.column(doc_id), part.column("seed").cast(pa.int64()).fill_null(0), part.column("trusted").fill_null(False), np.bincount(doc[heads], minlength=part.num_rows).astype(np.int32),
+                    np.diff(np.append(heads, len(doc))).astype(np.int32), places.indices, places.dictionary,
+                ]
+                lists = [x if isinstance(x, pa.Array) else pa.array(x) for x in lists]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "ids", "seeds", "trusted", "counts", "sizes", "edges", "phrases"])
+                block += 1
 
-    schema = T.StructType([docs.schema[doc_id], T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("phrases", T.ArrayType(T.LongType()))])
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    kinds = {"ids": docs.schema[doc_id].dataType, "seeds": T.LongType(), "trusted": T.BooleanType(), "counts": T.IntegerType(), "sizes": T.IntegerType(), "edges": T.IntegerType(), "phrases": T.LongType()}
+    return docs.select(doc_id, text, "seed", "trusted").mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(x)) for n, x in kinds.items())]))
 
 
 def _seeds(labels: DataFrame, doc_id: str, subjects: list[str]) -> DataFrame:
@@ -128,70 +148,79 @@ def _seeds(labels: DataFrame, doc_id: str, subjects: list[str]) -> DataFrame:
     return known.groupBy(doc_id).agg(F.bit_or("_bit").alias("seed"), ((F.count_distinct("_bit") == 1) & (F.count_distinct("annotator") > 1)).alias("trusted"))
 
 
-class Graph:
-    """Phrase labels at a time, as every task needs them."""
-
-    def __init__(self, phrases: np.ndarray, k: int) -> None:
-        self.phrases, self.k = phrases, k
-        self.vote = np.zeros((len(phrases), k))
-        self.devoted = DEVOTED * np.log(max(2, k))
-
-    def learn(self, sums: np.ndarray) -> None:
-        """Phrase step: from the summed labels of its sentences a phrase gets, for each subject, log of lift times purity.
-        Sums are taken in proportion to a subject's share of all labels, so that lift and purity don't depend on how much
-        of the corpus a subject holds."""
-        chance = (sums.sum(0) + 1e-9) / (sums.sum() + 1e-9 * self.k)
-        lift = (sums + PRIOR * chance) / (sums.sum(1, keepdims=True) + PRIOR) / (chance + LEAST_CHANCE)
-        p = lift / lift.sum(1, keepdims=True)
-        purity = np.clip(1 + (p * np.log(p + 1e-9)).sum(1, keepdims=True) / np.log(max(2, self.k)), 0, 1) ** 2
-        self.vote = np.log((p + 1e-3) / (1 / self.k + 1e-3)) * purity
-
-    def sentences(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each sentence, sentence and phrase number of each edge, score of each sentence and subject)."""
-        sizes, phrases = batch.column("sizes"), batch.column("phrases")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(sizes.offsets.to_numpy()))
-        flat = phrases.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(row)), sizes.flatten().to_numpy())
-        at = np.minimum(np.searchsorted(self.phrases, flat), max(0, len(self.phrases) - 1))
-        known = self.phrases[at] == flat if len(self.phrases) else np.zeros(len(flat), bool)
-        owner, at = owner[known], at[known]
-        score = np.stack([np.bincount(owner, self.vote[at, j], len(row)) for j in range(self.k)], 1) if len(row) else np.zeros((0, self.k))
-        return row, owner, at, score
-
-
-def _seed_shares(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    bits = (batch.column("seed").fill_null(0).to_numpy()[:, None] >> np.arange(k)) & 1
+def votes(sums: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Phrase step: from the summed labels of its sentences a phrase gets, for each subject, log of lift times purity.
+    Sums are taken in proportion to a subject's share of all labels (``totals``), so that lift and purity don't depend on
+    how much of the corpus a subject holds."""
+    k = len(totals)
+    chance = (totals + 1e-9) / (totals.sum() + 1e-9 * k)
+    lift = (sums + PRIOR * chance) / (sums.sum(1, keepdims=True) + PRIOR) / (chance + LEAST_CHANCE)
+    p = lift / lift.sum(1, keepdims=True)
+    purity = np.clip(1 + (p * np.log(p + 1e-9)).sum(1, keepdims=True) / np.log(max(2, k)), 0, 1) ** 2
+    return np.log((p + 1e-3) / (1 / k + 1e-3)) * purity
+
+
+def _voted(blocks: DataFrame, sums: DataFrame, k: int) -> DataFrame:
+    """``blocks`` with ``votes`` (place, labels as 32-bit floats) of those of its phrases that are nodes."""
+    names = [f"s{j}" for j in range(k)]
+    totals = np.array([x or 0.0 for x in sums.agg(*(F.sum(n).alias(n) for n in names)).first()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = votes(np.stack([batch.column(n).to_numpy() for n in names], 1), totals).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("phrase"), pa.array([v.tobytes() for v in made], pa.binary())], names=["phrase", "vote"])
+
+    own = blocks.select("block", F.posexplode("phrases").alias("place", "phrase")).join(sums.mapInArrow(run, "phrase long, vote binary"), "phrase")
+    return blocks.join(own.groupBy("block").agg(F.collect_list(F.struct("place", "vote")).alias("votes")), "block", "left")
+
+
+def _steps(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    """Sentence step of each block: (number of the block in the batch, documents' rows of its sentences, edges' sentences,
+    edges' places, places that are nodes, scores by sentence and subject)."""
+    for i in range(batch.num_rows):
+        part = {n: batch.column(n).slice(i, 1).flatten() for n in ("counts", "sizes", "edges", "votes") if n in batch.schema.names}
+        counts, sizes, at = (part[n].to_numpy() for n in ("counts", "sizes", "edges"))
+        row, owner = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(sizes)), sizes)
+        places = int(at.max()) + 1 if len(at) else 0
+        if "votes" not in part:
+            yield i, row, owner, at, np.arange(places), None
+            continue
+        place, vote = part["votes"].flatten()
+        node, own, heads = place.to_numpy(), np.zeros((k, places)), np.cumsum(sizes) - sizes
+        own[:, node] = np.frombuffer(b"".join(vote.to_pylist()), np.float32).reshape(-1, k).T
+        yield i, row, owner, at, node, np.stack([np.add.reduceat(v[at], heads) for v in own], 1) if len(at) else np.zeros((0, k))
+
+
+def _seed_shares(seeds: np.ndarray, k: int) -> np.ndarray:
+    bits = (seeds[:, None] >> np.arange(k)) & 1
     return bits / np.maximum(1, bits.sum(1, keepdims=True))
 
 
-def _round(edges: DataFrame, graph: Graph, first: bool) -> np.ndarray:
-    """Sentence step over all documents and the sums of their labels by phrase."""
-    k, shared = graph.k, edges.sparkSession.sparkContext.broadcast(graph)
+def _sums(blocks: DataFrame, described: DataFrame, k: int) -> DataFrame:
+    """(phrase, ``n``: its sentences, ``s0`` ...: their labels and the descriptions' summed) of each node; a block's labels are its seeds
+    where it has no votes yet."""
+    devoted, names = DEVOTED * np.log(max(2, k)), [f"s{j}" for j in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shared.value, None
         for batch in batches:
-            row, owner, at, score = own.sentences(batch)
-            seeds = _seed_shares(batch, k)
-            if first:
-                label = seeds[row]
-            else:
-                label = np.exp(2 * (score - score.max(1, keepdims=True)))
-                clamp = batch.column("trusted").fill_null(False).to_numpy(zero_copy_only=False)[row]
-                label = np.where(clamp[:, None], label * (seeds[row] > 0), label)
-                label = label / np.maximum(label.sum(1, keepdims=True), 1e-12) * (score.max(1, keepdims=True) > own.devoted)
-            part = np.stack([np.bincount(at, label[owner, j], len(own.phrases)) for j in range(k)], 1)
-            sums = part if sums is None else sums + part
-        if sums is not None and len(sums):
-            some = np.nonzero(sums.any(1))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(sums[some, j]) for j in range(k))], names=["p", *(f"s{j}" for j in range(k))])
-
-    schema = ", ".join(["p int", *(f"s{j} double" for j in range(k))])
-    found = edges.mapInArrow(run, schema).groupBy("p").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k)))
-    sums = np.zeros((len(graph.phrases), k))
-    for r in found.collect():  # one row for a phrase: bounded
-        sums[r["p"]] = r[1:]
-    return sums
+            for i, row, owner, at, node, score in _steps(batch, k):
+                seeds, trusted, phrases = (batch.column(n).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for n in ("seeds", "trusted", "phrases"))
+                label = _seed_shares(seeds, k)[row]
+                if score is not None and len(score):
+                    soft = np.exp(2 * (score - score.max(1, keepdims=True)))
+                    soft = np.where(trusted[row][:, None], soft * (label > 0), soft)
+                    label = soft / np.maximum(soft.sum(1, keepdims=True), 1e-12) * (score.max(1, keepdims=True) > devoted)
+                n = np.bincount(at, minlength=len(phrases))[node]
+                if score is None:  # few are labelled
+                    some = label.any(1)[owner]
+                    at, owner = at[some], owner[some]
+                sums = [np.bincount(at, x[owner], len(phrases))[node] for x in np.ascontiguousarray(label.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(phrases[node]), pa.array(n), *(pa.array(x, pa.float64()) for x in sums)], names=["phrase", "n", *names])
+
+    schema = ", ".join(["phrase long", "n long", *(f"{n} double" for n in names)])
+    read = [n for n in blocks.columns if n not in ("block", "ids")]
+    by_phrase = blocks.select(*read).mapInArrow(run, schema).unionByName(described).groupBy("phrase")
+    return by_phrase.agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names)).filter(F.col("n") >= LEAST_SENTENCES)
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,44 +234,34 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: list[tuple[s
     """
     names = [s for s, _ in subjects]
     k = len(names)
-    edges = _edges(docs, doc_id, text).join(_seeds(labels, doc_id, names), doc_id, "left")
-    edges = written(edges)
-    total = edges.agg(F.sum(F.size("sizes"))).first()[0] or 0
-    counts = edges.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.filter((F.col("n") >= max(3, LEAST_SHARE * total)) & (F.col("n") <= MOST_SHARE * total)).select("phrase").toArrow()
-    graph = Graph(np.sort(kept.column(0).to_numpy()), k)
-
-    ids, clamped = _Ids(), np.zeros((len(graph.phrases), k))
-    doc, _, phrase = sentence_phrases([d for _, d in subjects], ids)
-    at = np.searchsorted(graph.phrases, phrase)
-    for i, p, j in zip(doc, phrase, at):
-        if j < len(graph.phrases) and graph.phrases[j] == p:
-            clamped[j, i] += 1
-    sums = _round(edges, graph, True)
+    seeded = docs.select(doc_id, text).join(_seeds(labels, doc_id, names), doc_id, "left")
+    blocks = written(_blocks(seeded, doc_id, text), "block")
+    of, _, phrase = sentence_phrases([d for _, d in subjects], _Ids())
+    own = [(int(p), 0, *(float(i == j) for j in range(k))) for i, p in zip(of, phrase)]
+    described = docs.sparkSession.createDataFrame(own, ", ".join(["phrase long", "n long", *(f"s{j} double" for j in range(k))]))
+    sums = _sums(blocks, described, k)
+    if MOST_SHARE < 1:
+        sums = sums.filter(F.col("n") <= MOST_SHARE * (blocks.agg(F.sum(F.size("sizes"))).first()[0] or 0))
+    sums = written(sums)
     for _ in range(ROUNDS - 1):
-        graph.learn(sums + clamped)
-        new = _round(edges, graph, False)
-        if np.array_equal(new.argmax(1), sums.argmax(1)):
-            break
-        sums = new
-    graph.learn(sums + clamped)
-    shared = edges.sparkSession.sparkContext.broadcast(graph)
+        sums = written(_sums(_voted(blocks, sums, k), described, k))
+    devoted = DEVOTED * np.log(max(2, k))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            row, _, _, score = own.sentences(batch)
-            devoted = score.max(1) > own.devoted if len(score) else np.zeros(0, bool)
-            n = np.zeros((batch.num_rows, k), np.int64)
-            np.add.at(n, (row[devoted], score[devoted].argmax(1)), 1)
-            share = n / np.maximum(1, n.sum(1, keepdims=True))
-            d, j = np.nonzero(share >= SUBJECT_SHARE)
-            if len(d):
-                cols = [batch.column(doc_id).take(pa.array(d)), pa.array([names[x] for x in j]), pa.array(share[d, j]), pa.array(n[d, j].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=[doc_id, "subject", "share", "sentences"])
+            for i, row, _, _, _, score in _steps(batch, k):
+                ids = batch.column("ids").slice(i, 1).flatten()
+                best = score.max(1) > devoted if len(score) else np.zeros(0, bool)
+                n = np.zeros((len(ids), k), np.int64)
+                np.add.at(n, (row[best], score[best].argmax(1)), 1)
+                share = n / np.maximum(1, n.sum(1, keepdims=True))
+                d, j = np.nonzero(share >= SUBJECT_SHARE)
+                if len(d):
+                    cols = [ids.take(pa.array(d)), pa.array([names[x] for x in j]), pa.array(share[d, j]), pa.array(n[d, j].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[doc_id, "subject", "share", "sentences"])
 
     out = T.StructType([docs.schema[doc_id], T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("sentences", T.IntegerType())])
-    return edges.select(doc_id, "sizes", "phrases").mapInArrow(settle, out)
+    return _voted(blocks, sums, k).select("ids", "counts", "sizes", "edges", "votes").mapInArrow(settle, out)
 
 
 def composition(found: DataFrame, docs: DataFrame, by: list[str], doc_id: str = "doc_id") -> DataFrame:

@@ -38,13 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, key: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here and an executor's loss costs no recomputation.
 
     Parquet is several times smaller than the serialised rows of ``checkpoint()`` and later reads still prune columns.
+    With a ``key`` the table is bucketed by it, so that joins by the key don't shuffle it again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paneloom/{uuid.uuid4().hex}"
+    if key:
+        name = f"paneloom_{uuid.uuid4().hex}"
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name, format="parquet")
+        table = spark.table(name)
+        spark.sql(f"drop table {name}")  # only the name: the files stay until forget()
+        return table
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,6 +65,18 @@ def test_a_subject_that_holds_half_of_the_rows(spark):
     assert sum(got.get(i, set()) == truth[i] for i in truth) / len(truth) > 0.95
 
 
+def test_a_subject_of_few_documents(spark):
+    """Six documents of a subject among 1,500: none of its words stands in a thousandth of the sentences."""
+    rng = random.Random(7)
+    rows, truth = corpus(rng, 1500)
+    few = sorted(i for i in truth if truth[i] == {"tax"})[:4] + sorted(i for i in truth if truth[i] >= {"tax", "sea"})[:2]
+    rows = [(i, t) for i, t in rows if "tax" not in truth[i] or i in few]
+    labels = [(i, s, "a") for i, _ in rows if i < 200 or i in few[:2] for s in sorted(truth[i])]
+    got = found_of(spark, rows, labels)
+    assert all("tax" in got.get(i, set()) for i in few)
+    assert sum("tax" in s for i, s in got.items() if i not in few) < 3
+
+
 def test_empty_and_unlabelled(spark):
     docs = spark.createDataFrame([(1, "Some words here.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject string, annotator string")
