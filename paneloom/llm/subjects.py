@@ -48,8 +48,8 @@ LEAST_CHANCE = 0.01
 #: Bytes of text in a block of documents (one document is never split).
 BLOCK = 4 << 20
 
-#: Identifiers and calls, words, runs of ideographs, numbers, sentence ends.
-_TOKENS = re.compile(r"[a-z0-9]+[_(]\S*|[a-z]+|[㐀-鿿]+|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
+#: Identifiers and calls (up to their own last character: what follows, a sentence end too, is text), words, runs of ideographs, numbers, sentence ends.
+_TOKENS = re.compile(r"[a-z0-9]+[_(](?:[a-z0-9_(),.]*[a-z0-9_)])?|[a-z]+|[㐀-鿿]+|\d[\d.,]*\d|\d|\.(?=\s|$)|[!?;。\n\r]")
 _CJK, _STOP, _NUMBER = 1 << 40, -1, -2
 
 

@@ -88,3 +88,10 @@ def test_phrases_by_hand():
     ids = S._Ids()
     doc, sent, _ = S.sentence_phrases(["One two. three 3.5 four!", None, "", "中文字符 ab(c) x_y", "中文"], ids)
     assert doc.tolist() == [0, 0, 0, 0, 3, 3] and len(set(sent.tolist())) == 3
+
+
+def test_identifiers_end_where_they_end():
+    doc, sent, phrase = S.sentence_phrases(["用zscore(rank(close))。后面的文字还在", "pe_ttm为负的公司", "We take rank(close). Then more words"], S._Ids())
+    assert [(doc == i).sum() for i in range(3)] == [5, 3, 5]
+    assert [len(set(sent[doc == i].tolist())) for i in range(3)] == [1, 1, 2]
+    assert not set(phrase.tolist()) & set(S.sentence_phrases(["rank close zscore pe ttm"], S._Ids())[2].tolist())
