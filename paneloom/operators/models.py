@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import functools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,6 +189,35 @@ def walk_forward_ridge(scored: DataFrame, order: str, xs: list[str], y: str, tra
     return met.select("ts_code", order, value.alias("prediction"))
 
 
+def walk_forward_trees(scored: DataFrame, order: str, xs: list[str], y: str, train: int, embargo: int, every: int, trees: int) -> DataFrame:
+    """Out-of-sample predictions of gradient-boosted trees of depth 3: each block of ``every`` sessions is predicted from all
+    sessions that end ``embargo`` before it, ``train`` at least. (``ts_code``, order, ``prediction``)."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    spark = scored.sparkSession
+    data = VectorAssembler(inputCols=xs, outputCol="_x").transform(scored.dropna(subset=xs)).select("ts_code", order, "_x", F.col(y).alias("_y"))
+    full = data.dropna(subset=["_y"])
+    first, last = (full.agg(F.min(order)).first()[0], data.agg(F.max(order)).first()[0])
+
+    def block(at: int) -> DataFrame | None:
+        past = full.filter(F.col(order) < at - embargo)
+        if past.isEmpty():
+            return None
+        model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=3, stepSize=0.05, seed=7).fit(past)
+        return model.transform(data.filter((F.col(order) >= at) & (F.col(order) < at + every))).select("ts_code", order, "prediction")
+
+    starts = range(first + train + embargo, last + 1, every) if first is not None else ()
+    with ThreadPool(4) as pool:  # the fits don't depend on each other
+        parts = [p for p in pool.map(inheritable_thread_target(spark)(block), starts, 1) if p is not None]
+    if not parts:
+        return spark.createDataFrame([], f"ts_code string, `{order}` int, prediction double")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def double_ml(scored: DataFrame, session: str, y: str, x: str, controls: list[str]) -> DataFrame:
     """Partial-linear effect of x on y given controls: both residualised by session, then one slope. One row (``n``, ``effect``, ``t``)."""
     a = residual_on(scored, session, y, controls).select("ts_code", session, F.col("residual").alias("_a"))

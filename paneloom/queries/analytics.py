@@ -202,15 +202,11 @@ def mod_ridge_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mod_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Gradient-boosted trees trained on the first 500 sessions, rank correlation after an embargo of five."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+    """Rank correlation of boosted trees that are fitted again every 20 sessions on all sessions that end five before."""
     xs = ["score", "quiet", "thin"]
-    own = scored(spark, d).dropna(subset=[*xs, "label"])
-    data = VectorAssembler(inputCols=xs, outputCol="features").transform(own).select("ts_code", "idx", "features", "label")
-    model = GBTRegressor(maxIter=5, maxDepth=3, seed=7).fit(data.filter("idx < 500"))
-    out = model.transform(data.filter("idx >= 505"))
+    own = written(scored(spark, d).select("ts_code", "idx", *xs, "label"))
+    made = M.walk_forward_trees(own, "idx", xs, "label", train=40, embargo=5, every=20, trees=40)
+    out = made.join(own.select("ts_code", "idx", "label").dropna(), ["ts_code", "idx"])
     return S.rank_ic(out, ["idx"], score="prediction", least=MIN).select("idx", "n", F.round("spearman", 6).alias("spearman"))
 
 

@@ -129,3 +129,14 @@ def test_regimes():
     x = np.concatenate([rng.normal(-1, 0.3, 100), rng.normal(1, 0.3, 100)])
     states, means = M.regimes_by_mixture(x)
     assert states[:95].mean() < 0.5 < states[105:].mean() and means[0] < means[-1]
+
+
+def test_boosted_trees_walk_forward(spark):
+    """The relation turns at session 40: only a model that is fitted again follows it."""
+    from paneloom.operators import models as M
+
+    rows = [(f"s{i}", t, float(i), float(i if t < 40 else 9 - i)) for i in range(10) for t in range(150)]
+    made = M.walk_forward_trees(spark.createDataFrame(rows, "ts_code string, idx int, x double, y double"), "idx", ["x"], "y", 20, 5, 60, 3).collect()
+    assert {r["idx"] for r in made} == set(range(25, 150)) and len(made) == 1250
+    at = {(r["ts_code"], r["idx"]): r["prediction"] for r in made}
+    assert at["s9", 30] > at["s0", 30] and at["s9", 149] < at["s0", 149]
