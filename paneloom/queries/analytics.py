@@ -10,10 +10,10 @@ from ..operators import models as M
 from ..operators import simulation as X
 from ..operators import statistics as S
 from ..plans.duck_backend import named
-from ..plans.factors import FACTORS, c, o, r
+from ..plans.factors import FACTORS, c, h, l, o, r
 from ..plans.formula import parse
 from ..plans.indicators import signals
-from ..plans.nodes import fn, lag, mean, pct, std
+from ..plans.nodes import Node, absolute, fill, fn, lag, mean, pct, smaller, std, where
 from ..plans.spark_backend import evaluate
 from ..plans.structure import library, near_duplicates
 from ..session import written
@@ -355,8 +355,17 @@ def sim_ledger(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumn("balance", F.col("balance").cast("double"))
 
 
-_XGB = {f"r{k}": pct(c, k) for k in (1, 2, 3, 5, 10, 20, 60)} | {f"sd{k}": std(r, k, ddof=0) for k in (5, 10, 20)} | {
+def _run(n: int) -> Node:
+    """Sessions in a row with returns of the last one's sign, with that sign, within the last ``n``."""
+    s = fn("sign", r)
+    length = smaller(fn("last_true", fn("ne", s, fill(lag(s), 9))) + 1, n)
+    return where(mean(absolute(r), n) >= 0, s * length)
+
+
+_XGB = {f"r{k}": pct(c, k) for k in (1, 2, 3, 5, 10, 20, 40, 60)} | {f"sd{k}": std(r, k, ddof=0) for k in (5, 10, 20)} | {
     "drawdown": parse("close / ts_max(close, 20) - 1"), "volume_ratio": parse("volume / ma(volume, 20)"), "amplitude": parse("(high - low) / close.shift(1)"), "up_ratio": mean(r > 0, 10), "gap": o / lag(c) - 1,
+    "drawdown_5": parse("close / ts_max(close, 5) - 1"), "drawdown_10": parse("close / ts_max(close, 10) - 1"), "volume_ratio_5": parse("volume / ma(volume, 5)"),
+    "amplitude_5": mean((h - l) / c, 5), "amplitude_20": mean((h - l) / c, 20), "up_ratio_20": mean(r > 0, 20), "streak": _run(10), "gap_5": mean(o / lag(c) - 1, 5),
 }
 QUERIES["fac_price_volume_features"], SQL["fac_price_volume_features"] = panel_query(_XGB)
 

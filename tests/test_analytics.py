@@ -140,3 +140,32 @@ def test_boosted_trees_walk_forward(spark):
     assert {r["idx"] for r in made} == set(range(25, 150)) and len(made) == 1250
     at = {(r["ts_code"], r["idx"]): r["prediction"] for r in made}
     assert at["s9", 30] > at["s0", 30] and at["s9", 149] < at["s0", 149]
+
+
+def test_price_volume_features_against_the_definition(spark, sf):
+    import __spark_entry__ as entry
+    from compare import assert_same, connect
+    from paneloom.sources.panel import dense_panel
+
+    df = entry.queries()["fac_price_volume_features"](spark, sf)
+    assert_same(df, connect(sf), entry.oracle_sql()["fac_price_volume_features"])
+    made = df.toPandas()
+    panel = dense_panel(spark, sf, ["close", "open", "high", "low", "volume"]).toPandas().sort_values("idx")
+    checked = 0
+    for code, own in panel.groupby("ts_code"):
+        own, rows = own.reset_index(drop=True), made[made["ts_code"] == code].set_index("trade_date")
+        for t in range(41, len(own), 7):
+            w = own.iloc[t - 40 : t + 1].astype({n: float for n in ("close", "open", "high", "low", "volume")})
+            if not (w[["close", "open", "high", "low", "volume"]] > 0).all().all():  # absent sessions and prices of 0
+                continue
+            close, ret = w["close"].to_numpy(), w["close"].pct_change().to_numpy()[1:]
+            sign = [(x > 0) * 1 - (x < 0) * 1 for x in ret[-10:]]
+            run = next((i for i, x in enumerate(reversed(sign)) if x != sign[-1]), 10) * sign[-1]
+            want = {
+                "r40": close[-1] / close[0] - 1, "drawdown_5": close[-1] / close[-5:].max() - 1, "drawdown_10": close[-1] / close[-10:].max() - 1, "volume_ratio_5": w["volume"].iloc[-1] / w["volume"].tail(5).mean(), "amplitude_5": ((w["high"] - w["low"]) / w["close"]).tail(5).mean(),
+                "amplitude_20": ((w["high"] - w["low"]) / w["close"]).tail(20).mean(), "up_ratio_20": (ret[-20:] > 0).mean(), "streak": run, "gap_5": (w["open"].to_numpy()[-5:] / close[-6:-1] - 1).mean(),
+            }
+            got = rows.loc[own["trade_date"][t]]
+            assert all(abs(got[n] - x) < 1e-5 for n, x in want.items()), (code, t, want, got.to_dict())
+            checked += 1
+    assert checked > 10
