@@ -142,10 +142,11 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _seeds(labels: DataFrame, doc_id: str, subjects: list[str]) -> DataFrame:
-    """(doc id, ``seed``: bits of its labelled subjects, ``trusted``: whether labels of several annotators are the same)."""
+    """(doc id, ``seed``: bits of its labelled subjects, ``trusted``: whether several annotators gave each of them)."""
     bit = F.create_map(*chain.from_iterable((F.lit(s), F.lit(1 << i)) for i, s in enumerate(subjects)))
     known = labels.filter(F.col("subject").isin(*subjects) & F.col(doc_id).isNotNull()).select(doc_id, bit[F.col("subject")].alias("_bit"), "annotator").distinct()
-    return known.groupBy(doc_id).agg(F.bit_or("_bit").alias("seed"), ((F.count_distinct("_bit") == 1) & (F.count_distinct("annotator") > 1)).alias("trusted"))
+    agreed = known.groupBy(doc_id, "_bit").agg(F.count("annotator").alias("_n"))
+    return agreed.groupBy(doc_id).agg(F.bit_or("_bit").alias("seed"), (F.min("_n") > 1).alias("trusted"))
 
 
 def votes(sums: np.ndarray, totals: np.ndarray) -> np.ndarray:

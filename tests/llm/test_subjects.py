@@ -95,3 +95,9 @@ def test_identifiers_end_where_they_end():
     assert [(doc == i).sum() for i in range(3)] == [5, 3, 5]
     assert [len(set(sent[doc == i].tolist())) for i in range(3)] == [1, 1, 2]
     assert not set(phrase.tolist()) & set(S.sentence_phrases(["rank close zscore pe ttm"], S._Ids())[2].tolist())
+
+
+def test_trusted_seeds_may_have_several_subjects(spark):
+    rows = [(1, s, a) for s in ("tax", "sea") for a in "ab"] + [(2, "tax", "a"), (2, "sea", "b"), (3, "law", "a"), (3, "law", "b"), (4, "law", "a"), (4, "law", "a")]
+    seeds = S._seeds(spark.createDataFrame(rows, "doc_id long, subject string, annotator string"), "doc_id", NAMES).collect()
+    assert {r["doc_id"]: r["trusted"] for r in seeds} == {1: True, 2: False, 3: True, 4: False}
