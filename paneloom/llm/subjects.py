@@ -3,9 +3,11 @@
 The graph's nodes are the sentences of all documents; two sentences are neighbours if they share a phrase (a word, or
 three Chinese characters in a row). It is kept factorised, as sentence-phrase edges, so that a phrase with a million
 sentences is a million edges and not their square. Labels start at a few labelled documents and the subjects'
-descriptions (trusted seeds, clamped) and spread in rounds: a phrase takes the labels of its sentences, a sentence the
-labels of its phrases. An edge is verified by what its phrase has shown: a phrase whose labels are no purer than chance
-carries nothing. A sentence has one subject or none, a document as many as take a fair share of its sentences.
+descriptions and spread in rounds, until they settle: a phrase takes the labels of its sentences, a sentence the
+labels of its phrases. Edges are verified: a phrase must stand in several *different* sentences (copies of a sentence,
+as of small talk and disclaimers, count once) and its labels must be purer than chance, and a sentence takes a
+label only by several phrases that agree on it. Seeds whose own sentences bear them out are trusted and clamped: their
+sentences take no other subjects. A sentence has one subject or none, a document as many as take a fair share of its sentences.
 
 Edges lie with a block of documents, in a table bucketed by block, and name a phrase by its place among the block's
 distinct phrases. The phrase labels are a table too: a round joins them with the blocks' distinct phrases, sends each block
@@ -31,17 +33,19 @@ from pyspark.sql import types as T
 
 from ..session import written
 
-#: A phrase is a node if it stands in at least so many sentences, however large the corpus.
-LEAST_SENTENCES = 3
-#: And in at most that share of them: 1 is no bound. Common words are silenced by their purity; a bound would take its own words
-#: from a subject that holds much of the corpus.
-MOST_SHARE = 1.0
-ROUNDS = 3
+#: A phrase is a node if it stands in at least so many different sentences, however large the corpus.
+LEAST_SENTENCES = 5
+#: Labels have settled when the subjects' sums of a round differ from the last round's by less than this share; at most so many rounds.
+SETTLED, ROUNDS = 0.05, 12
 #: Score that a sentence must reach to be devoted to its best subject: purity-weighted log lift, in units of the greatest
 #: lift of one phrase (the logarithm of the number of subjects).
 DEVOTED = 0.455
+#: Score, in the same units, that the phrases other than the strongest must add.
+AGREED = 0.1
 #: Share of the sentences with a subject that a subject must have to be one of the document's.
 SUBJECT_SHARE = 0.25
+#: Share of its sentences that must have a subject, or else the document mentions subjects in passing only.
+ABOUT = 1 / 3
 PRIOR = 0.5
 #: Added to a subject's share of all labels when a phrase's share is divided by it: few labels are no evidence.
 LEAST_CHANCE = 0.01
@@ -106,7 +110,7 @@ def sentence_phrases(texts: list[str | None], ids: dict[str, int]) -> tuple[np.n
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row a block of documents: (``block``, ``ids``, ``seeds``, ``trusted``, ``counts``: sentences of each document, ``sizes``:
+    """One row a block of documents: (``block``, ``ids``, ``seeds``, ``counts``: sentences of each document, ``sizes``:
     phrases of each sentence, ``edges``: places of those phrases in ``phrases``, the block's distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,24 +133,23 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 heads = np.nonzero(np.concatenate([[True], np.diff(sentence) != 0]))[0] if len(doc) else np.zeros(0, np.int64)
                 places = pa.array(phrase).dictionary_encode()
                 lists = [
-                    part.column(doc_id), part.column("seed").cast(pa.int64()).fill_null(0), part.column("trusted").fill_null(False), np.bincount(doc[heads], minlength=part.num_rows).astype(np.int32),
+                    part.column(doc_id), part.column("seed").cast(pa.int64()).fill_null(0), np.bincount(doc[heads], minlength=part.num_rows).astype(np.int32),
                     np.diff(np.append(heads, len(doc))).astype(np.int32), places.indices, places.dictionary,
                 ]
                 lists = [x if isinstance(x, pa.Array) else pa.array(x) for x in lists]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "ids", "seeds", "trusted", "counts", "sizes", "edges", "phrases"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "ids", "seeds", "counts", "sizes", "edges", "phrases"])
                 block += 1
 
-    kinds = {"ids": docs.schema[doc_id].dataType, "seeds": T.LongType(), "trusted": T.BooleanType(), "counts": T.IntegerType(), "sizes": T.IntegerType(), "edges": T.IntegerType(), "phrases": T.LongType()}
-    return docs.select(doc_id, text, "seed", "trusted").mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(x)) for n, x in kinds.items())]))
+    kinds = {"ids": docs.schema[doc_id].dataType, "seeds": T.LongType(), "counts": T.IntegerType(), "sizes": T.IntegerType(), "edges": T.IntegerType(), "phrases": T.LongType()}
+    return docs.select(doc_id, text, "seed").mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(x)) for n, x in kinds.items())]))
 
 
 def _seeds(labels: DataFrame, doc_id: str, subjects: list[str]) -> DataFrame:
-    """(doc id, ``seed``: bits of its labelled subjects, ``trusted``: whether several annotators gave each of them)."""
+    """(doc id, ``seed``: bits of its labelled subjects)."""
     bit = F.create_map(*chain.from_iterable((F.lit(s), F.lit(1 << i)) for i, s in enumerate(subjects)))
-    known = labels.filter(F.col("subject").isin(*subjects) & F.col(doc_id).isNotNull()).select(doc_id, bit[F.col("subject")].alias("_bit"), "annotator").distinct()
-    agreed = known.groupBy(doc_id, "_bit").agg(F.count("annotator").alias("_n"))
-    return agreed.groupBy(doc_id).agg(F.bit_or("_bit").alias("seed"), (F.min("_n") > 1).alias("trusted"))
+    known = labels.filter(F.col("subject").isin(*subjects) & F.col(doc_id).isNotNull())
+    return known.groupBy(doc_id).agg(F.bit_or(bit[F.col("subject")]).alias("seed"))
 
 
 def votes(sums: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -161,10 +164,9 @@ def votes(sums: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.log((p + 1e-3) / (1 / k + 1e-3)) * purity
 
 
-def _voted(blocks: DataFrame, sums: DataFrame, k: int) -> DataFrame:
+def _voted(blocks: DataFrame, sums: DataFrame, totals: np.ndarray) -> DataFrame:
     """``blocks`` with ``votes`` (place, labels as 32-bit floats) of those of its phrases that are nodes."""
-    names = [f"s{j}" for j in range(k)]
-    totals = np.array([x or 0.0 for x in sums.agg(*(F.sum(n).alias(n) for n in names)).first()])
+    names = [f"s{j}" for j in range(len(totals))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,94 +177,127 @@ def _voted(blocks: DataFrame, sums: DataFrame, k: int) -> DataFrame:
     return blocks.join(own.groupBy("block").agg(F.collect_list(F.struct("place", "vote")).alias("votes")), "block", "left")
 
 
-def _steps(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
-    """Sentence step of each block: (number of the block in the batch, documents' rows of its sentences, edges' sentences,
-    edges' places, places that are nodes, scores by sentence and subject)."""
-    for i in range(batch.num_rows):
-        part = {n: batch.column(n).slice(i, 1).flatten() for n in ("counts", "sizes", "edges", "votes") if n in batch.schema.names}
-        counts, sizes, at = (part[n].to_numpy() for n in ("counts", "sizes", "edges"))
-        row, owner = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(sizes)), sizes)
-        places = int(at.max()) + 1 if len(at) else 0
+class _Block:
+    """Sentence step of one block: its edges and, where it has votes, each sentence's score by subject and its best subject, -1 for none."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, k: int) -> None:
+        part = {n: batch.column(n).slice(i, 1).flatten() for n in batch.schema.names if n != "block"}
+        self.part, self.k = part, k
+        counts, sizes, self.at = (part[n].to_numpy() for n in ("counts", "sizes", "edges"))
+        self.documents, self.row, self.owner = len(counts), np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(sizes)), sizes)
+        self.heads, self.phrases = np.cumsum(sizes) - sizes, part["phrases"].to_numpy() if "phrases" in part else None
         if "votes" not in part:
-            yield i, row, owner, at, np.arange(places), None
-            continue
+            return
         place, vote = part["votes"].flatten()
-        node, own, heads = place.to_numpy(), np.zeros((k, places)), np.cumsum(sizes) - sizes
-        own[:, node] = np.frombuffer(b"".join(vote.to_pylist()), np.float32).reshape(-1, k).T
-        yield i, row, owner, at, node, np.stack([np.add.reduceat(v[at], heads) for v in own], 1) if len(at) else np.zeros((0, k))
-
-
-def _seed_shares(seeds: np.ndarray, k: int) -> np.ndarray:
-    bits = (seeds[:, None] >> np.arange(k)) & 1
-    return bits / np.maximum(1, bits.sum(1, keepdims=True))
+        self.node, own = place.to_numpy(), np.zeros((k, int(self.at.max()) + 1 if len(self.at) else 0))
+        own[:, self.node] = np.frombuffer(b"".join(vote.to_pylist()), np.float32).reshape(-1, k).T
+        if not len(self.at):
+            self.score, self.best = np.zeros((0, k)), np.zeros(0, np.int64)
+            return
+        self.score = np.stack([np.add.reduceat(v[self.at], self.heads) for v in own], 1)
+        best, most = self.score.argmax(1), self.score.max(1)
+        strongest = np.maximum.reduceat(own[best[self.owner], self.at], self.heads)
+        unit = np.log(max(2, k))
+        self.best = np.where((most > DEVOTED * unit) & (most - strongest > AGREED * unit), best, -1)
+
+    def by_subject(self) -> np.ndarray:
+        """Sentences of each document and subject."""
+        some = self.best >= 0
+        return np.bincount(self.row[some] * self.k + self.best[some], minlength=self.documents * self.k).reshape(-1, self.k)
+
+    def labels(self) -> np.ndarray:
+        """Labels of each sentence: soft among the subjects, none below the thresholds; of seeds that their own sentences bear
+        out, none of other subjects."""
+        soft = np.exp(2 * (self.score - self.score.max(1, keepdims=True)))
+        soft *= (self.best >= 0)[:, None] / soft.sum(1, keepdims=True)
+        bits, n = (self.part["seeds"].to_numpy()[:, None] >> np.arange(self.k)) & 1, self.by_subject()
+        trusted = 2 * (n * bits).sum(1) > n.sum(1)
+        soft[trusted[self.row] & (bits[self.row, self.best] == 0)] = 0
+        return soft
+
+    def seeded(self) -> np.ndarray:
+        """Labels of each sentence before the first round: those of its document in equal parts."""
+        bits = (self.part["seeds"].to_numpy()[:, None] >> np.arange(self.k)) & 1
+        return (bits / np.maximum(1, bits.sum(1, keepdims=True)))[self.row]
+
+    def seen(self) -> np.ndarray:
+        """For each phrase a set of 64 bits, one for each of its different sentences (some share a bit)."""
+        with np.errstate(over="ignore"):
+            h = self.phrases[self.at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = np.add.reduceat(h, self.heads) * np.uint64(0x9E3779B97F4A7C15)
+        pair = np.unique(self.at.astype(np.int64) << 6 | (h >> np.uint64(58)).astype(np.int64)[self.owner])
+        places = pair >> 6
+        return np.bitwise_or.reduceat(np.uint64(1) << (pair & 63).astype(np.uint64), np.nonzero(np.diff(places, prepend=-1))[0]).view(np.int64)
 
 
 def _sums(blocks: DataFrame, described: DataFrame, k: int) -> DataFrame:
-    """(phrase, ``n``: its sentences, ``s0`` ...: their labels and the descriptions' summed) of each node; a block's labels are its seeds
-    where it has no votes yet."""
-    devoted, names = DEVOTED * np.log(max(2, k)), [f"s{j}" for j in range(k)]
+    """(phrase, ``s0`` ...: labels of its sentences and of the descriptions, summed) of each node; a block's labels are its seeds
+    where it has no votes yet, and its phrases are not known to be nodes then."""
+    names, first = [f"s{j}" for j in range(k)], "votes" not in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row, owner, at, node, score in _steps(batch, k):
-                seeds, trusted, phrases = (batch.column(n).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for n in ("seeds", "trusted", "phrases"))
-                label = _seed_shares(seeds, k)[row]
-                if score is not None and len(score):
-                    soft = np.exp(2 * (score - score.max(1, keepdims=True)))
-                    soft = np.where(trusted[row][:, None], soft * (label > 0), soft)
-                    label = soft / np.maximum(soft.sum(1, keepdims=True), 1e-12) * (score.max(1, keepdims=True) > devoted)
-                n = np.bincount(at, minlength=len(phrases))[node]
-                if score is None:  # few are labelled
-                    some = label.any(1)[owner]
+            for i in range(batch.num_rows):
+                b = _Block(batch, i, k)
+                if not len(b.at):
+                    continue
+                label = b.seeded() if first else b.labels()
+                at, owner, node, seen = b.at, b.owner, slice(None) if first else b.node, [pa.array(b.seen())] if first else []
+                some = label.any(1)[owner]
+                if first or some.mean() < 0.5:
                     at, owner = at[some], owner[some]
-                sums = [np.bincount(at, x[owner], len(phrases))[node] for x in np.ascontiguousarray(label.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(phrases[node]), pa.array(n), *(pa.array(x, pa.float64()) for x in sums)], names=["phrase", "n", *names])
+                sums = [np.bincount(at, x[owner], len(b.phrases))[node] for x in np.ascontiguousarray(label.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.phrases[node]), *seen, *(pa.array(x, pa.float64()) for x in sums)], names=["phrase", *["seen"] * first, *names])
 
-    schema = ", ".join(["phrase long", "n long", *(f"{n} double" for n in names)])
-    read = [n for n in blocks.columns if n not in ("block", "ids")]
-    by_phrase = blocks.select(*read).mapInArrow(run, schema).unionByName(described).groupBy("phrase")
-    return by_phrase.agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names)).filter(F.col("n") >= LEAST_SENTENCES)
+    schema = ", ".join(["phrase long", *["seen long"] * first, *(f"{n} double" for n in names)])
+    made = blocks.select(*(n for n in blocks.columns if n not in ("block", "ids"))).mapInArrow(run, schema).unionByName(described, allowMissingColumns=True)
+    summed = made.groupBy("phrase").agg(*[F.bit_or("seen").alias("seen")] * first, *(F.sum(n).alias(n) for n in names))
+    return summed.filter(F.bit_count("seen") >= LEAST_SENTENCES).drop("seen") if first else summed
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, ``subject``, ``share``, ``sentences``) of each subject that takes at least SUBJECT_SHARE of a document's sentences
     with a subject.
 
-    ``labels`` has doc id, ``subject`` and ``annotator`` of some documents and may be wrong or repeated: labels only start
-    the propagation, and clamp it where several annotators agree. ``subjects`` are names and descriptions. Documents
-    with a null, empty or off-topic text, and all documents where there are no labels, have no row; ids are taken to be
-    unique. Other columns are ignored.
+    ``labels`` has doc id and ``subject`` of some documents and may be wrong or repeated: labels start the propagation, and
+    clamp it where a document's own sentences bear them out. ``subjects`` are names and descriptions. Documents with a
+    null, empty or off-topic text or with subjects in less than ABOUT of their sentences, and all documents where there are
+    no labels, have no row; ids are taken to be unique. Other columns are ignored.
     """
     names = [s for s, _ in subjects]
     k = len(names)
     seeded = docs.select(doc_id, text).join(_seeds(labels, doc_id, names), doc_id, "left")
     blocks = written(_blocks(seeded, doc_id, text), "block")
     of, _, phrase = sentence_phrases([d for _, d in subjects], _Ids())
-    own = [(int(p), 0, *(float(i == j) for j in range(k))) for i, p in zip(of, phrase)]
-    described = docs.sparkSession.createDataFrame(own, ", ".join(["phrase long", "n long", *(f"s{j} double" for j in range(k))]))
-    sums = _sums(blocks, described, k)
-    if MOST_SHARE < 1:
-        sums = sums.filter(F.col("n") <= MOST_SHARE * (blocks.agg(F.sum(F.size("sizes"))).first()[0] or 0))
-    sums = written(sums)
-    for _ in range(ROUNDS - 1):
-        sums = written(_sums(_voted(blocks, sums, k), described, k))
-    devoted = DEVOTED * np.log(max(2, k))
+    own = [(int(p), *(float(i == j) for j in range(k))) for i, p in zip(of, phrase)]
+    described = docs.sparkSession.createDataFrame(own, ", ".join(["phrase long", *(f"s{j} double" for j in range(k))]))
+
+    def totals(sums: DataFrame) -> np.ndarray:
+        return np.array([x or 0.0 for x in sums.agg(*(F.sum(f"s{j}") for j in range(k))).first()])
+
+    sums = written(_sums(blocks, described, k))
+    now = totals(sums)
+    for _ in range(ROUNDS):
+        last, sums = now, written(_sums(_voted(blocks, sums, now), described, k))
+        now = totals(sums)
+        if np.abs(now - last).sum() <= SETTLED * now.sum():
+            break
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row, _, _, _, score in _steps(batch, k):
-                ids = batch.column("ids").slice(i, 1).flatten()
-                best = score.max(1) > devoted if len(score) else np.zeros(0, bool)
-                n = np.zeros((len(ids), k), np.int64)
-                np.add.at(n, (row[best], score[best].argmax(1)), 1)
-                share = n / np.maximum(1, n.sum(1, keepdims=True))
+            for i in range(batch.num_rows):
+                b = _Block(batch, i, k)
+                ids, n = b.part["ids"], b.by_subject()
+                labelled = n.sum(1, keepdims=True)
+                share = n / np.maximum(1, labelled) * (labelled >= ABOUT * b.part["counts"].to_numpy()[:, None])
                 d, j = np.nonzero(share >= SUBJECT_SHARE)
                 if len(d):
                     cols = [ids.take(pa.array(d)), pa.array([names[x] for x in j]), pa.array(share[d, j]), pa.array(n[d, j].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, names=[doc_id, "subject", "share", "sentences"])
 
     out = T.StructType([docs.schema[doc_id], T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("sentences", T.IntegerType())])
-    return _voted(blocks, sums, k).select("ids", "counts", "sizes", "edges", "votes").mapInArrow(settle, out)
+    return _voted(blocks, sums, now).select("ids", "counts", "sizes", "edges", "votes").mapInArrow(settle, out)
 
 
 def composition(found: DataFrame, docs: DataFrame, by: list[str], doc_id: str = "doc_id") -> DataFrame:

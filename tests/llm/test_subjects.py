@@ -1,4 +1,8 @@
 import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
 
 from paneloom.llm import subjects as S
 
@@ -28,8 +32,7 @@ def corpus(rng, n):
     return rows, truth
 
 
-def test_held_out_accuracy(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST_SHARE", 0.5)  # a small vocabulary: every word is common
+def test_held_out_accuracy(spark):
     rng = random.Random(3)
     rows, truth = corpus(rng, 400)
     labels = [(i, s, "a") for i in range(0, 90) for s in sorted(truth[i])]
@@ -97,7 +100,40 @@ def test_identifiers_end_where_they_end():
     assert not set(phrase.tolist()) & set(S.sentence_phrases(["rank close zscore pe ttm"], S._Ids())[2].tolist())
 
 
-def test_trusted_seeds_may_have_several_subjects(spark):
-    rows = [(1, s, a) for s in ("tax", "sea") for a in "ab"] + [(2, "tax", "a"), (2, "sea", "b"), (3, "law", "a"), (3, "law", "b"), (4, "law", "a"), (4, "law", "a")]
-    seeds = S._seeds(spark.createDataFrame(rows, "doc_id long, subject string, annotator string"), "doc_id", NAMES).collect()
-    assert {r["doc_id"]: r["trusted"] for r in seeds} == {1: True, 2: False, 3: True, 4: False}
+def test_small_talk_has_no_subject(spark):
+    """Sentences that recur word for word, and a document of small talk that mentions a subject once."""
+    rng = random.Random(11)
+    rows, truth = corpus(rng, 400)
+    talk = ["The lamp by the stairs is on. ", "Lunch came late again today. ", "Nobody watered those plants. ", "We all meet on Thursday. "]
+    rows = [(i, t and t + rng.choice(talk)) for i, t in rows]
+    rows += [(1000 + i, "".join(rng.choice(talk) for _ in range(9)) + (sentence(rng, "tax") if i % 2 else "")) for i in range(80)]
+    labels = [(i, s, "a") for i in range(0, 90) for s in sorted(truth[i])]
+    got = found_of(spark, rows, labels)
+    assert not any(i >= 1000 for i in got)
+    assert sum(got.get(i, set()) == truth[i] for i in truth) / len(truth) > 0.95
+
+
+def blocked(spark, seeds):
+    """A block of three documents of the subjects 0 and 1, by two phrases each, with votes."""
+    texts = ["levy excise one. levy excise two. levy excise three. tide reef four", "tide reef. tide reef", "levy excise"]
+    rows = [(i, t, s) for i, (t, s) in enumerate(zip(texts, seeds))]
+    batch = S._blocks(spark.createDataFrame(rows, "doc_id long, text string, seed long").coalesce(1), "doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    words = {zlib.crc32(w.encode()): j for w, j in (("levy", 0), ("excise", 0), ("tide", 1), ("reef", 1))}
+    own = [(p, words[x]) for p, x in enumerate(batch.column("phrases")[0].as_py()) if x in words]
+    cast = [[{"place": p, "vote": np.eye(2, dtype=np.float32)[j].tobytes()} for p, j in own]]
+    votes = pa.array(cast, pa.list_(pa.struct([("place", pa.int32()), ("vote", pa.binary())])))
+    return S._Block(pa.RecordBatch.from_arrays([*batch.columns, votes], names=[*batch.schema.names, "votes"]), 0, 2)
+
+
+def test_seeds_are_clamped_where_their_sentences_bear_them_out(spark):
+    free, right, wrong = (blocked(spark, s).labels().argmax(1) - (blocked(spark, s).labels().sum(1) == 0) * 9 for s in ([0, 0, 0], [1, 2, 0], [2, 0, 0]))
+    assert free.tolist() == [0, 0, 0, 1, 1, 1, 0]
+    assert right.tolist() == [0, 0, 0, -9, 1, 1, 0]  # a mention of another subject in a trusted seed is no evidence
+    assert wrong.tolist() == free.tolist()  # a label that three of four sentences speak against clamps nothing
+
+
+def test_copies_of_a_sentence_count_once(spark):
+    b = blocked(spark, [0, 0, 0])
+    seen = dict(zip(b.phrases.tolist(), (int(x).bit_count() for x in b.seen().view(np.uint64))))
+    # of levy: "levy excise one", "... two", "... three" and "levy excise"; of tide: "tide reef four" and twice "tide reef"
+    assert seen[zlib.crc32(b"levy")] == 4 and seen[zlib.crc32(b"tide")] == 2
