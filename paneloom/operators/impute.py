@@ -1,18 +1,36 @@
 """Filling of missing cells from similar records: k-prototypes clusters, medians or modes within a group's cluster.
 
 Rows are clustered on their observed numeric features (standardised) and categorical features. Centres are a few rows of
-numbers on the driver; each round is one scan with an assignment expression inside the JVM and one aggregate of k rows.
-A missing cell takes the median (mode) of its group's rows in its cluster, else of its group, else of its cluster.
+numbers on the driver; each round is one scan of the features in Arrow batches and one aggregate of k rows.
+A missing cell takes the median (mode) of its group's rows in its cluster, else of its group, else of its cluster. All
+cells of a table share one fit and one written table of features, values and clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..session import written
+
+#: Centres have settled when none moves farther than this, in standard deviations.
+SETTLED = 0.05
+
+
+@dataclass
+class Cell:
+    """A column to be filled: ``real`` is its value where it is a real one, else null; ``fillable`` says which missing cells are to
+    be filled; ``scale`` is what values are proportional to, such as a price."""
+
+    real: Column
+    fillable: Column | None = None
+    scale: Column | None = None
 
 
 @dataclass
@@ -25,6 +43,8 @@ class Prototypes:
     sd: list[float]
     centres: list[tuple[list[float], list[str | None]]] = field(default_factory=list)
     gamma: float = 0.5
+    rounds: int = 0
+    settled: bool = True
 
     def assign(self) -> Column:
         """Number of the nearest centre over the features that the row has; 0 where it has none."""
@@ -36,10 +56,57 @@ class Prototypes:
         return F.least(*options)["i"] if len(options) > 1 else F.lit(0)
 
 
+def _moved(rows: DataFrame, fit: Prototypes) -> list[tuple[list[float], list[str | None]]]:
+    """Centres after one round: means and modes of the rows nearest to each. Distances are taken in numpy: as column expressions
+    with other numbers each round they would be compiled anew each round."""
+    nums, cats, centres = fit.numeric, fit.categorical, fit.centres
+    middle = np.array([c for c, _ in centres]).reshape(len(centres), len(nums))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, counts = len(centres), {}
+        sums, n = np.zeros((len(nums), k)), np.zeros((len(nums), k))
+        for batch in batches:
+            x = [(batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) - m) / s for f, m, s in zip(nums, fit.mean, fit.sd)]
+            codes = [batch.column(c).dictionary_encode() for c in cats]
+            d = np.zeros((k, batch.num_rows))
+            for v, own in zip(x, middle.T):
+                d += np.nan_to_num((v - own[:, None]) ** 2)
+            found = []
+            for j, c in enumerate(codes):
+                names, at = c.dictionary.to_pylist(), c.indices.fill_null(len(c.dictionary)).to_numpy()
+                for i, (_, own) in enumerate(centres):
+                    if own[j] is not None:
+                        d[i] += fit.gamma * np.array([name != own[j] for name in names] + [False])[at]
+                found.append((names, at))
+            near = d.argmin(0)
+            for f, v in enumerate(x):
+                there = ~np.isnan(v)
+                sums[f] += np.bincount(near[there], v[there], k)
+                n[f] += np.bincount(near[there], minlength=k)
+            for j, (names, at) in enumerate(found):
+                for pair, times in zip(*np.unique(near * (len(names) + 1) + at, return_counts=True)):
+                    i, v = divmod(int(pair), len(names) + 1)
+                    if v < len(names):
+                        counts[i, len(nums) + j, names[v]] = counts.get((i, len(nums) + j, names[v]), 0) + int(times)
+        made = [(i, f, None, n[f, i], sums[f, i]) for f in range(len(nums)) for i in range(k)] + [(i, f, v, float(c), 0.0) for (i, f, v), c in counts.items()]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made), kinds)], names=["i", "f", "v", "n", "s"])
+
+    summed = rows.mapInArrow(run, "i int, f int, v string, n double, s double").groupBy("i", "f", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    best = summed.filter("n > 0").groupBy("i", "f").agg(F.max_by(F.struct("v", F.col("s") / F.col("n")), F.struct("n", "v")).alias("to")).collect()
+    new = [(list(c), list(m)) for c, m in centres]
+    for r in best:
+        if r["f"] < len(nums):
+            new[r["i"]][0][r["f"]] = r["to"][1]
+        else:
+            new[r["i"]][1][r["f"] - len(nums)] = r["to"][0]
+    return new
+
+
 def fit_prototypes(rows: DataFrame, numeric: list[str], categorical: list[str], k: int, rounds: int) -> Prototypes:
-    """k-prototypes over all rows: ``rounds`` scans after one for scale and start. Starts are joint quantiles, so that a fit
-    is repeatable. An empty table gives one centre, as does one
-    without features."""
+    """k-prototypes over all rows: one scan for scale and start, then scans until no centre moves by SETTLED, at most ``rounds``
+    (``Prototypes.settled`` says whether they did). Starts are joint quantiles, so that a fit is repeatable. An empty table
+    gives one centre, as does one without features."""
     if not numeric and not categorical:
         return Prototypes([], [], [], [], [([], [])])
     at = [(i + 0.5) / k for i in range(k)]
@@ -52,51 +119,50 @@ def fit_prototypes(rows: DataFrame, numeric: list[str], categorical: list[str],
         for i in range(k)
     }
     fit.centres = [(list(s), [first[f"c_{c}"] for c in categorical]) for s in sorted(starts)]
-    for _ in range(rounds if first["n"] else 0):
-        found = rows.groupBy(fit.assign().alias("_i")).agg(*(F.avg(f).alias(f) for f in numeric), *(F.mode(c, True).alias(c) for c in categorical)).collect()
-        old = fit.centres
-        new = {r["_i"]: ([o if r[f] is None else (r[f] - m) / s for f, m, s, o in zip(numeric, mean, sd, old[r["_i"]][0])], [r[c] for c in categorical]) for r in found}
-        fit.centres = [new.get(i, c) for i, c in enumerate(old)]
-        if fit.centres == old:
+    for fit.rounds in range(1, (rounds if first["n"] else 0) + 1):
+        old, fit.centres = fit.centres, _moved(rows, fit)
+        fit.settled = all(c == o and max((abs(x - y) for x, y in zip(n, m)), default=0.0) < SETTLED for (n, c), (m, o) in zip(fit.centres, old))
+        if fit.settled:
             break
     return fit
 
 
-def fill_from_similar(
-    df: DataFrame, group: str, target: str, real: Column, fillable: Column, numeric: dict[str, Column], categorical: dict[str, Column],
-    scale: Column | None = None, k: int = 6, rounds: int = 3,
-) -> DataFrame:
-    """``df`` with ``target`` filled and ``{target}_filled`` (boolean) and ``{target}_method`` (``cluster``, ``group``, ``overall`` or null).
+def fill_from_similar(df: DataFrame, group: str, cells: dict[str, Cell], numeric: dict[str, Column], categorical: dict[str, Column], k: int = 6, rounds: int = 12) -> DataFrame:
+    """``df`` with each column of ``cells`` filled and, for each, ``{name}_filled`` (boolean), ``{name}_method`` (``cluster``, ``group``,
+    ``overall`` or null) and ``{name}_cluster`` (number of the row's cluster where it was filled).
 
-    ``real`` is the cell's value where it is a real one, null where it is missing or a stand-in; a string column is filled
-    with modes, any other with medians. ``fillable`` says which missing cells are to be filled. With ``scale`` (say, a
-    price) medians are taken of value/scale and multiplied back; rows without a positive scale take the plain median of
-    the group. ``cluster`` and ``group`` mean that rows of the same group held real values; ``overall`` that only others
+    A string column is filled with modes, any other with medians. With a ``scale`` medians are taken of value/scale and
+    multiplied back; rows without a positive scale take the plain median of the group. ``cluster`` and ``group`` mean that
+    rows of the same group held real values, in the row's cluster or only elsewhere; ``overall`` that only other groups
     did, which needs a row of the same cluster; a null group has no rows of its own group. Cells that stay missing are
     null and unmarked; no row is dropped, repeated rows are kept and count in the medians. Medians are approximate
     (1 in 10,000). Columns of ``df`` may have any names.
     """
-    text = dict(df.dtypes)[target] == "string"
     feats = {f"_n{i}": finite(c) for i, c in enumerate(numeric.values())} | {f"_c{i}": c for i, c in enumerate(categorical.values())}
-    usable = F.when(scale > 0, scale) if scale is not None else F.lit(1.0)
-    rows = df.withColumns({"_y": real, "_u": F.lit(None) if text else usable, **feats})
+    made, kinds = {}, dict(df.dtypes)
+    for i, (name, cell) in enumerate(cells.items()):
+        made[f"_y{i}"] = cell.real
+        made[f"_f{i}"] = cell.real.isNull() & (F.coalesce(cell.fillable, F.lit(True)) if cell.fillable is not None else F.lit(True))
+        if cell.scale is not None:
+            made[f"_u{i}"] = F.when(cell.scale > 0, cell.scale)
+    rows = written(df.withColumns({"_g": F.col(group), **feats, **made}).drop(*cells))
     nums, cats = [f"_n{i}" for i in range(len(numeric))], [f"_c{i}" for i in range(len(categorical))]
     fit = fit_prototypes(rows.select(*nums, *cats), nums, cats, k, rounds)
     rows = rows.withColumn("_cl", fit.assign())
-    held = rows.filter(F.col("_y").isNotNull()).select(F.col(group).alias("_g"), "_cl", "_y", (F.col("_y") if text else F.col("_y") / F.col("_u")).alias("_z"))
-    middle = (lambda c: F.mode(c, True)) if text else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    keyed = held.filter(F.col("_g").isNotNull())
-    near = keyed.groupBy("_g", "_cl").agg(middle("_z").alias("_near"))
-    own = keyed.groupBy("_g").agg(F.count("_y").alias("_held"), middle("_z").alias("_own"), middle("_y").alias("_plain"))
-    over = held.groupBy("_cl").agg(middle("_z").alias("_over"))  # k rows
-
-    wanted = F.col("_y").isNull() & F.coalesce(fillable, F.lit(True))
-    missing, there = rows.filter(wanted), rows.filter(~wanted)
-    missing = missing.withColumn("_g", F.col(group)).join(near, ["_g", "_cl"], "left").join(own, "_g", "left").join(F.broadcast(over), "_cl", "left")
-    back = (lambda c: F.col(c)) if text else (lambda c: F.col(c) * F.col("_u"))
-    new = F.coalesce(back("_near"), back("_own"), F.col("_plain"), back("_over"))
-    method = F.when(F.col("_held") > 0, F.when(back("_near").isNotNull(), "cluster").otherwise("group")).when(back("_over").isNotNull(), "overall")
-    extra = [c for c in df.columns if c != target]
-    kind = dict(df.dtypes)[target]
-    out = lambda d, value, how: d.select(*(F.col(f"`{c}`") for c in extra), value.cast(kind).alias(target), how.isNotNull().alias(f"{target}_filled"), how.alias(f"{target}_method"))
-    return out(missing, new, method).unionByName(out(there, F.col("_y"), F.lit(None).cast("string")))
+    out, columns = rows, {}
+    for i, (name, cell) in enumerate(cells.items()):
+        text, y, filled = kinds[name] == "string", f"_y{i}", f"_f{i}"
+        scaled = lambda c, i=i: c if cells[list(cells)[i]].scale is None else c / F.col(f"_u{i}")
+        back = lambda c, i=i: F.col(c) if cells[list(cells)[i]].scale is None else F.col(c) * F.col(f"_u{i}")
+        held = rows.filter(F.col(y).isNotNull()).select("_g", "_cl", F.col(y).alias("_y"), scaled(F.col(y)).alias("_z"))
+        middle = (lambda c: F.mode(c, True)) if text else (lambda c: F.percentile_approx(c, 0.5, 10_000))
+        keyed = held.filter(F.col("_g").isNotNull())
+        near = keyed.groupBy("_g", "_cl").agg(middle("_z").alias(f"_near{i}")).withColumn(filled, F.lit(True))
+        own = keyed.groupBy("_g").agg(F.count("_y").alias(f"_held{i}"), middle("_z").alias(f"_own{i}"), middle("_y").alias(f"_plain{i}")).withColumn(filled, F.lit(True))
+        over = held.groupBy("_cl").agg(middle("_z").alias(f"_over{i}")).withColumn(filled, F.lit(True))  # k rows
+        # rows that aren't to be filled have no partner
+        out = out.join(near, ["_g", "_cl", filled], "left").join(own, ["_g", filled], "left").join(F.broadcast(over), ["_cl", filled], "left")
+        new = F.coalesce(back(f"_near{i}"), back(f"_own{i}"), F.col(f"_plain{i}"), back(f"_over{i}"))
+        method = F.when(F.col(f"_held{i}") > 0, F.when(back(f"_near{i}").isNotNull(), "cluster").otherwise("group")).when(back(f"_over{i}").isNotNull(), "overall")
+        columns |= {name: F.coalesce(new, F.col(y)).cast(kinds[name]), f"{name}_filled": method.isNotNull(), f"{name}_method": method, f"{name}_cluster": F.when(method.isNotNull(), F.col("_cl"))}
+    return out.select(*(columns[c].alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns), *(v.alias(c) for c, v in columns.items() if c not in cells))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import LAST_DAY, UNKNOWN_WORDS, compact_date, day_string, finite, instrument_code, is_filler
 from ..operators.copies import difference
-from ..operators.impute import fill_from_similar
+from ..operators.impute import Cell, fill_from_similar
 from ..operators.intervals import coverage
 from ..operators.ledger import bitemporal_ledger, periods
 from ..operators.rolling import trailing_totals
@@ -136,7 +136,7 @@ def p7_free_share(spark: SparkSession, d: str) -> DataFrame:
     v = finite("free_share")
     real = F.when((v > 0) & ~is_filler(v), v)
     numeric = {c: F.when(F.col(c) > 0, F.ln(c)) for c in ("total_share", "float_share")}
-    return fill_from_similar(rows, "ts_code", "free_share", real, F.lit(True), numeric, {"board": _suffix()}, scale=finite("float_share"))
+    return fill_from_similar(rows, "ts_code", {"free_share": Cell(real, scale=finite("float_share"))}, numeric, {"board": _suffix()})
 
 
 def p7_up_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,8 @@ def p7_up_limit(spark: SparkSession, d: str) -> DataFrame:
     real = F.when((v > 0) & ~is_filler(v), v)
     low = finite("down_limit") / F.when(F.col("pre_close") > 0, F.col("pre_close"))
     fillable = F.col("up_limit").isNotNull() | F.col("down_limit").isNotNull()
-    return fill_from_similar(rows, "ts_code", "up_limit", real, fillable, {"low": low, "price": F.when(F.col("pre_close") > 0, F.ln("pre_close"))}, {"board": _suffix()}, scale=finite("pre_close"))
+    numeric = {"low": low, "price": F.when(F.col("pre_close") > 0, F.ln("pre_close"))}
+    return fill_from_similar(rows, "ts_code", {"up_limit": Cell(real, fillable, finite("pre_close"))}, numeric, {"board": _suffix()})
 
 
 def _category() -> F.col:
@@ -158,32 +159,24 @@ def _icir() -> F.col:
     return F.when(~is_filler(v), v)
 
 
-def _performance(spark: SparkSession, d: str) -> DataFrame:
+def p7_performance(spark: SparkSession, d: str) -> DataFrame:
+    """Both columns of factor_performance from one fit over all that rows have, the two columns' own values included."""
     keep = ("experiment_id", "factor_id", "category", "icir_mean", "ic_mean", "regime_bull_icir", "regime_bear_icir", "regime_volatile_icir", "status")
-    return table(spark, d, "factor_performance").select(*keep)
-
-
-def p7_bear_icir(spark: SparkSession, d: str) -> DataFrame:
-    numeric = {c: F.col(c) for c in ("icir_mean", "regime_bull_icir", "regime_volatile_icir")}
-    return fill_from_similar(_performance(spark, d), "factor_id", "regime_bear_icir", _icir(), F.lit(True), numeric, {"category": _category(), "status": F.col("status")})
-
-
-def p7_category(spark: SparkSession, d: str) -> DataFrame:
-    numeric = {c: F.col(c) for c in ("icir_mean", "ic_mean", "regime_bull_icir", "regime_volatile_icir")}
-    return fill_from_similar(_performance(spark, d), "factor_id", "category", _category(), F.lit(True), numeric, {"status": F.col("status")})
+    rows = table(spark, d, "factor_performance").select(*keep)
+    numeric = {c: F.col(c) for c in ("icir_mean", "ic_mean", "regime_bull_icir", "regime_volatile_icir")} | {"bear": _icir()}
+    return fill_from_similar(rows, "factor_id", {"regime_bear_icir": Cell(_icir()), "category": Cell(_category())}, numeric, {"category": _category(), "status": F.col("status")})
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = (
-        ("daily_basic", "ts_code", "trade_date", "free_share", p7_free_share), ("stk_limit", "ts_code", "trade_date", "up_limit", p7_up_limit),
-        ("factor_performance", "experiment_id", "factor_id", "regime_bear_icir", p7_bear_icir), ("factor_performance", "experiment_id", "factor_id", "category", p7_category),
-    )
     out = None
-    for tbl, k1, k2, field, fill in parts:
-        filled = fill(spark, d).filter(F.col(f"{field}_filled") & F.col(f"{field}_method").isin("cluster", "group"))
-        part = filled.select(F.lit(tbl).alias("tbl"), F.col(k1).alias("key1"), F.col(k2).alias("key2"), F.lit(field).alias("field"))
+    for tbl, k1, k2, fields, filled in (
+        ("daily_basic", "ts_code", "trade_date", ["free_share"], p7_free_share(spark, d)), ("stk_limit", "ts_code", "trade_date", ["up_limit"], p7_up_limit(spark, d)),
+        ("factor_performance", "experiment_id", "factor_id", ["regime_bear_icir", "category"], p7_performance(spark, d)),
+    ):
+        own = F.explode(F.array_compact(F.array(*(F.when(F.col(f"{f}_filled") & F.col(f"{f}_method").isin("cluster", "group"), f) for f in fields))))
+        part = filled.select(F.lit(tbl).alias("tbl"), F.col(k1).alias("key1"), F.col(k2).alias("key2"), own.alias("field"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_attributes, p3_found, p3_rolling, p4_found, p5_found, p6_found, p6_ledger, p7_found, p7_free_share, p7_up_limit, p7_bear_icir, p7_category)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_attributes, p3_found, p3_rolling, p4_found, p5_found, p6_found, p6_ledger, p7_found, p7_free_share, p7_up_limit, p7_performance)}
