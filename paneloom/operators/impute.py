@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,8 @@ def fill_from_similar(df: DataFrame, group: str, cells: dict[str, Cell], numeric
     nums, cats = [f"_n{i}" for i in range(len(numeric))], [f"_c{i}" for i in range(len(categorical))]
     fit = fit_prototypes(rows.select(*nums, *cats), nums, cats, k, rounds)
     rows = rows.withColumn("_cl", fit.assign())
-    out, columns = rows, {}
+    asked = reduce(lambda a, b: a | b, (F.col(f"_f{i}") for i in range(len(cells))))
+    out, columns, plain = rows.filter(asked), {}, {}  # the other rows are not shuffled
     for i, (name, cell) in enumerate(cells.items()):
         text, y, filled = kinds[name] == "string", f"_y{i}", f"_f{i}"
         scaled = lambda c, i=i: c if cells[list(cells)[i]].scale is None else c / F.col(f"_u{i}")
@@ -164,5 +166,24 @@ def fill_from_similar(df: DataFrame, group: str, cells: dict[str, Cell], numeric
         out = out.join(near, ["_g", "_cl", filled], "left").join(own, ["_g", filled], "left").join(F.broadcast(over), ["_cl", filled], "left")
         new = F.coalesce(back(f"_near{i}"), back(f"_own{i}"), F.col(f"_plain{i}"), back(f"_over{i}"))
         method = F.when(F.col(f"_held{i}") > 0, F.when(back(f"_near{i}").isNotNull(), "cluster").otherwise("group")).when(back(f"_over{i}").isNotNull(), "overall")
+        none = F.lit(None).cast
+        plain |= {name: F.col(y).cast(kinds[name]), f"{name}_filled": F.lit(False), f"{name}_method": none("string"), f"{name}_cluster": none("int")}
         columns |= {name: F.coalesce(new, F.col(y)).cast(kinds[name]), f"{name}_filled": method.isNotNull(), f"{name}_method": method, f"{name}_cluster": F.when(method.isNotNull(), F.col("_cl"))}
-    return out.select(*(columns[c].alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns), *(v.alias(c) for c, v in columns.items() if c not in cells))
+    marks = [c for c in columns if c not in cells]
+    whole = lambda d, of: d.select(*(of[c].alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns), *(of[c].alias(c) for c in marks))
+    return whole(out, columns).unionByName(whole(rows.filter(~asked), plain))
+
+
+def held_out_error(df: DataFrame, keys: list[str], group: str, name: str, cell: Cell, numeric: dict[str, Column], categorical: dict[str, Column], share: float = 0.1, **fit: int) -> DataFrame:
+    """One row: (``hidden``, ``cluster_error``, ``group_error``), how well known cells are found again. A ``share`` of the real values of
+    ``name``, drawn by a hash of the row's ``keys``, is hidden and filled from the group's cluster and from the group alone; the
+    errors are mean absolute differences relative to the value (of a string column: shares of wrong fills)."""
+    drawn = F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(share * (1 << 20))
+    rows = df.withColumns({"_true": cell.real, "_hide": drawn & cell.real.isNotNull()})
+    ask = Cell(F.when(~F.col("_hide"), cell.real), F.col("_hide"), cell.scale)
+    wrong = (F.col(name) != F.col("_true")).cast("double") if dict(df.dtypes)[name] == "string" else F.abs(F.col(name) - F.col("_true")) / F.abs("_true")
+    parts = []
+    for label, nums, cats in (("cluster_error", numeric, categorical), ("group_error", {}, {})):
+        filled = fill_from_similar(rows, group, {name: ask}, nums, cats, **fit).filter(F.col("_hide") & F.col(f"{name}_method").isin("cluster", "group"))
+        parts.append(filled.agg(F.count(F.lit(1)).alias("hidden"), F.avg(F.nanvl(wrong, F.lit(None))).alias(label)))
+    return parts[0].join(parts[1].drop("hidden").withColumn("_one", F.lit(1)), F.col("_one") == 1, "left").drop("_one")

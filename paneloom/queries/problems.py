@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import LAST_DAY, UNKNOWN_WORDS, compact_date, day_string, finite, instrument_code, is_filler
 from ..operators.copies import difference
-from ..operators.impute import Cell, fill_from_similar
+from ..operators.impute import Cell, fill_from_similar, held_out_error
 from ..operators.intervals import coverage
 from ..operators.ledger import bitemporal_ledger, periods
 from ..operators.rolling import trailing_totals
@@ -131,22 +131,45 @@ def _suffix() -> F.col:
     return F.substring_index("ts_code", ".", -1)
 
 
-def p7_free_share(spark: SparkSession, d: str) -> DataFrame:
+def _free_share(spark: SparkSession, d: str) -> tuple:
     rows = coded(table(spark, d, "daily_basic").select("ts_code", "trade_date", "total_share", "float_share", "free_share")).withColumn("trade_date", compact_date("trade_date"))
     v = finite("free_share")
-    real = F.when((v > 0) & ~is_filler(v), v)
     numeric = {c: F.when(F.col(c) > 0, F.ln(c)) for c in ("total_share", "float_share")}
-    return fill_from_similar(rows, "ts_code", {"free_share": Cell(real, scale=finite("float_share"))}, numeric, {"board": _suffix()})
+    return rows, Cell(F.when((v > 0) & ~is_filler(v), v), scale=finite("float_share")), numeric, {"board": _suffix()}
 
 
-def p7_up_limit(spark: SparkSession, d: str) -> DataFrame:
+def p7_free_share(spark: SparkSession, d: str) -> DataFrame:
+    rows, cell, numeric, categorical = _free_share(spark, d)
+    return fill_from_similar(rows, "ts_code", {"free_share": cell}, numeric, categorical)
+
+
+def _up_limit(spark: SparkSession, d: str) -> tuple:
     rows = coded(table(spark, d, "stk_limit").select("ts_code", "trade_date", "pre_close", "up_limit", "down_limit")).withColumn("trade_date", compact_date("trade_date"))
     v = finite("up_limit")
-    real = F.when((v > 0) & ~is_filler(v), v)
     low = finite("down_limit") / F.when(F.col("pre_close") > 0, F.col("pre_close"))
     fillable = F.col("up_limit").isNotNull() | F.col("down_limit").isNotNull()
-    numeric = {"low": low, "price": F.when(F.col("pre_close") > 0, F.ln("pre_close"))}
-    return fill_from_similar(rows, "ts_code", {"up_limit": Cell(real, fillable, finite("pre_close"))}, numeric, {"board": _suffix()})
+    return rows, Cell(F.when((v > 0) & ~is_filler(v), v), fillable, finite("pre_close")), {"low": low, "price": F.when(F.col("pre_close") > 0, F.ln("pre_close"))}, {"board": _suffix()}
+
+
+def p7_up_limit(spark: SparkSession, d: str) -> DataFrame:
+    rows, cell, numeric, categorical = _up_limit(spark, d)
+    return fill_from_similar(rows, "ts_code", {"up_limit": cell}, numeric, categorical)
+
+
+def p7_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How well hidden cells are found again, by clusters and by groups alone."""
+    days, runs = ["ts_code", "trade_date"], ["experiment_id", "factor_id"]
+    others = {c: F.col(c) for c in ("icir_mean", "ic_mean", "regime_bull_icir", "regime_volatile_icir")}
+    rows = _performance(spark, d).distinct()
+    out = None
+    for name, keys, (rows, cell, numeric, categorical) in (
+        ("free_share", days, _free_share(spark, d)), ("up_limit", days, _up_limit(spark, d)),
+        ("regime_bear_icir", runs, (rows, Cell(_icir()), others, {"category": _category(), "status": F.col("status")})), ("category", runs, (rows, Cell(_category()), others, {"status": F.col("status")})),
+    ):
+        found = held_out_error(rows, keys, keys[0] if keys is days else keys[1], name, cell, numeric, categorical)
+        part = found.select(F.lit(name).alias("field"), "hidden", *(F.round(c, 6).alias(c) for c in ("cluster_error", "group_error")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _category() -> F.col:
@@ -159,10 +182,14 @@ def _icir() -> F.col:
     return F.when(~is_filler(v), v)
 
 
+def _performance(spark: SparkSession, d: str) -> DataFrame:
+    keep = ("experiment_id", "factor_id", "category", "icir_mean", "ic_mean", "regime_bull_icir", "regime_bear_icir", "regime_volatile_icir", "status")
+    return table(spark, d, "factor_performance").select(*keep)
+
+
 def p7_performance(spark: SparkSession, d: str) -> DataFrame:
     """Both columns of factor_performance from one fit over all that rows have, the two columns' own values included."""
-    keep = ("experiment_id", "factor_id", "category", "icir_mean", "ic_mean", "regime_bull_icir", "regime_bear_icir", "regime_volatile_icir", "status")
-    rows = table(spark, d, "factor_performance").select(*keep)
+    rows = _performance(spark, d)
     numeric = {c: F.col(c) for c in ("icir_mean", "ic_mean", "regime_bull_icir", "regime_volatile_icir")} | {"bear": _icir()}
     return fill_from_similar(rows, "factor_id", {"regime_bear_icir": Cell(_icir()), "category": Cell(_category())}, numeric, {"category": _category(), "status": F.col("status")})
 
@@ -179,4 +206,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return out.distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_attributes, p3_found, p3_rolling, p4_found, p5_found, p6_found, p6_ledger, p7_found, p7_free_share, p7_up_limit, p7_performance)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_attributes, p3_found, p3_rolling, p4_found, p5_found, p6_found, p6_ledger, p7_found, p7_free_share, p7_up_limit, p7_performance, p7_quality)}

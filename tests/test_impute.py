@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from paneloom.operators.impute import Cell, fill_from_similar, fit_prototypes
+from paneloom.operators.impute import Cell, fill_from_similar, fit_prototypes, held_out_error
 
 
 def test_clusters_and_fallbacks(spark):
@@ -30,3 +30,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], "g string, y double, x double")
     assert fill_from_similar(df, "g", {"y": Cell(F.col("y"))}, {"x": F.col("x")}, {}).count() == 0
     assert fit_prototypes(df, ["x"], [], 3, 2).centres == [([0.0], [])]
+
+
+def test_hidden_cells_are_found_by_cluster(spark):
+    rows = [("a", i, float(i % 2), 10.0 if i % 2 else 90.0 + i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    r = held_out_error(df, ["i"], "g", "y", Cell(F.col("y")), {"x": F.col("x")}, {}, k=2).first()
+    assert 10 < r["hidden"] < 60 and r["cluster_error"] < 0.05 < r["group_error"]
