@@ -79,17 +79,36 @@ def strm_interval_maps(spark: SparkSession, d: str) -> DataFrame:
     return out.join(last, ["ts_code", "version"]).select("ts_code", day_string("first").alias("from_date"), day_string("last").alias("to_date"))
 
 
+def _arrivals(spark: SparkSession, d: str, files: int = 5) -> str:
+    """Events as files of successive stretches of time, each event up to twelve hours out of place: days span files."""
+    path = _place(spark, "arrivals")
+    e = table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(43_200))
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    number = F.floor((at - low) / max(1.0, (high - low) / files))
+    for i in range(files):
+        e.filter((number == i) | ((number >= files) & F.lit(i == files - 1))).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query("select strftime(ts, '%Y%m%d') as day, count(*) as n, round(max(value), 4) as top from events group by 1")
 def strm_daily_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """One decision a day, written once although the stream runs twice."""
-    sink = f"{shared_folder(spark)}/paneloom/decisions-{uuid.uuid4().hex}"
+    """One decision a day from all its rows, which come in several micro-batches; the stream is started twice."""
+    path, sink = _arrivals(spark, d), _place(spark, "decisions")
+
+    def decide(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("top"))
+
+    T.daily_decisions(T.stream_table(spark, path, 1), "ts", decide, sink)
+    return T.daily_decisions(T.stream_table(spark, path, 1), "ts", decide, sink, finish=True)
 
-    def decide(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("top"))
 
-    T.daily_decisions(_events(spark, d), "day", decide, sink)
-    T.daily_decisions(_events(spark, d).withColumn("value", F.col("value") + 0), "day", decide, sink)
-    return spark.read.parquet(sink)
+@query(f"select {_T.format('b')} as begin, {_T.format('b + interval 1 day')} as finish, count(*) as n, round(sum(value), 4) as total from (select *, time_bucket(interval 1 day, ts, timestamp '1970-01-01') as b from events) group by all having b + interval 2 day <= (select max(ts) from events)")
+def strm_closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Append mode over five micro-batches: a window comes out once, when the watermark, a day behind, has passed its end.
+    Events are at most half a day out of place, so none is too late."""
+    stream = T.stream_table(spark, _arrivals(spark, d), 1)
+    return _windows(T.run_once(T.tumbling(stream, "ts", "1 day", "1 day", [], "value")), "n", F.round("total", 4).alias("total"))
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -121,9 +140,43 @@ def io_partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select count(*) as rows from customer")
+@query("select count(*) as rows, true as equal, false as equal_after_a_change from customer")
 def io_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return files.manifest(table(spark, d, "customer")).agg(F.sum("rows").alias("rows"))
+    """Digests of a table, of the same table written in another order and of one with a changed cell."""
+    own = table(spark, d, "customer")
+    again, changed = _place(spark, "again"), _place(spark, "changed")
+    own.orderBy(F.desc("c_custkey")).write.parquet(again)
+    own.withColumn("c_name", F.when(F.col("c_custkey") == own.agg(F.min("c_custkey")).first()[0], "x").otherwise(F.col("c_name"))).write.parquet(changed)
+    whole = [files.manifest(t).agg(F.sum("rows").alias("rows"), F.bit_xor("digest").alias("digest")) for t in (own, spark.read.parquet(again), spark.read.parquet(changed))]
+    a, b, c = (w.select(*(F.col(x).alias(f"{x}{i}") for x in w.columns)) for i, w in enumerate(whole))
+    met = a.join(b, F.col("rows0") == F.col("rows1")).join(c, F.col("rows0") == F.col("rows2"))
+    return met.select(F.col("rows0").alias("rows"), (F.col("digest0") == F.col("digest1")).alias("equal"), (F.col("digest0") == F.col("digest2")).alias("equal_after_a_change"))
+
+
+@query("select r_regionkey, r_name from region")
+def io_repeated_header(spark: SparkSession, d: str) -> DataFrame:
+    """A calendar-like CSV that several runs appended to, each with its header line."""
+    path = _place(spark, "headers")
+    lines = table(spark, d, "region").select(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name").alias("value"))
+    head = spark.createDataFrame([("r_regionkey,r_name",)] * 3, "value string")
+    head.limit(1).unionByName(lines).unionByName(head).coalesce(1).write.text(path)
+    out = files.read_csv(spark, path, "r_regionkey string, r_name string", repeated_header=True)
+    return out.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 200000")
+def io_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
+    """One partition and a range of a partitioned table: both reach the scan."""
+    path = _place(spark, "pruned")
+    files.write_partitioned(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, ["o_orderstatus"])
+    return spark.read.parquet(path).filter("o_orderstatus = 'F' and o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+
+
+@query("select n_nationkey, n_name from nation")
+def io_orc(spark: SparkSession, d: str) -> DataFrame:
+    path = _place(spark, "orc")
+    table(spark, d, "nation").write.orc(path)
+    return spark.read.orc(path).select("n_nationkey", "n_name")
 
 
 @query(f"select distinct {CODE} as ts_code from stock_basic")

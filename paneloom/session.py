@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a temporary
+    one; on a cluster, whose executors would each write to a disk of their own, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="paneloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,6 +60,11 @@ def written(df: DataFrame, key: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that :func:`written` and the streams left in the shared folder; for the end of an application."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/paneloom")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, between: tuple[str, str, str] | None = None, repeated_header: bool = False) -> DataFrame:
     """CSV with a given schema; columns and a range filter (column, from, to) reach the scan. ``repeated_header`` drops header lines
@@ -42,11 +44,9 @@ def manifest(df: DataFrame) -> DataFrame:
 
 
 def append_facts(df: DataFrame, path: str, key: str) -> None:
-    """Append-only facts: rows whose key is there already are not written again."""
-    spark = df.sparkSession
-    try:
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.dropDuplicates([key]).write.mode("append").parquet(path)
+    """Append-only facts: rows whose key is there already are not written again; of several new rows with a key the least counts,
+    by all columns in order."""
+    if exists(df.sparkSession, path):
+        df = df.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    least = df.groupBy(key).agg(F.min(F.struct(*(f"`{c}`" for c in df.columns))).alias("_row"))
+    least.select("_row.*").write.mode("append").parquet(path)

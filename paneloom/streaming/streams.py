@@ -15,23 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.intervals import IntervalMap
-from ..session import shared_folder
+from ..session import exists, shared_folder
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A Parquet folder or file as a stream, with the schema of what lies there; times without zone become instants in the
-    session's zone, which watermarks need."""
+    session's zone, which watermarks need. ``files_a_batch`` bounds a micro-batch."""
     schema = spark.read.parquet(path).schema
+    if files_a_batch:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+        return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
     # a pattern, because a source may be one file and a plain path must be a folder
     stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Writes all that is available, in micro-batches, and returns the written table. In complete and update mode the sink
-    keeps the last batch that held a row's key, which is what ``latest_batch`` reads."""
+def run_once(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Writes all that is available, in micro-batches, and returns the written table. In complete and update mode each batch
+    writes a folder of its own, named by ``_batch``. A run with the ``base`` of an earlier one takes up where that ended."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/paneloom/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/paneloom/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
     if mode == "append":
         query = writer.format("parquet").start(f"{base}/out")
@@ -82,19 +85,35 @@ def interval_maps(intervals: DataFrame, entity: str, first: str, last: str) -> D
     )
 
 
-def daily_decisions(stream: DataFrame, day: str, decide: Callable[[DataFrame], DataFrame], sink: str) -> None:
-    """Runs the batch evaluator on each micro-batch and writes its decisions by day; a day is written once: a batch that comes
-    again, or a day that was decided before, changes nothing."""
+def daily_decisions(stream: DataFrame, at: str, decide: Callable[[DataFrame], DataFrame], sink: str, late_days: int = 1, finish: bool = False) -> DataFrame:
+    """Decides each day once, from all its rows, however they spread over micro-batches, and returns the decisions.
+
+    Rows are kept by batch and ``day`` (``yyyyMMdd`` of ``at``) beside the sink. A day is decided by the first batch after which the
+    latest row seen is more than ``late_days`` days past it; ``decide`` gets the rows of such days with their ``day`` and returns
+    rows with a ``day``. Later rows of a decided day change nothing. A batch that comes again replaces what it wrote.
+    ``finish`` decides the days that are still open when the stream ends. Rows without a time belong to no day.
+    """
+    spark, rows = stream.sparkSession, f"{sink}-rows"
+
+    def settle(number: int, everything: bool) -> None:
+        if not exists(spark, rows):
+            return
+        kept = spark.read.parquet(rows).withColumn("day", F.col("day").cast("string"))
+        last = kept.agg(F.max("day")).first()[0]
+        if last is None:
+            return
+        if exists(spark, sink):
+            kept = kept.join(spark.read.parquet(sink).filter(F.col("batch") != number).select(F.col("day").cast("string").alias("day")).distinct(), "day", "left_anti")
+        if not everything:
+            kept = kept.filter(F.datediff(F.to_date(F.lit(last), "yyyyMMdd"), F.to_date("day", "yyyyMMdd")) > late_days)
+        decide(kept.drop("batch")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     def save(batch: DataFrame, number: int) -> None:
-        made = decide(batch)
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(sink).select(day).distinct()
-            made = made.join(done, day, "left_anti")
-        except Exception as e:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        made.write.mode("append").parquet(sink)
+        dated = batch.withColumn("day", F.date_format(at, "yyyyMMdd")).filter(F.col("day").isNotNull())
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{rows}/batch={number}")
+        settle(number, False)
 
     stream.writeStream.foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", f"{sink}-checkpoint").start().awaitTermination()
+    if finish:
+        settle(-1, True)
+    return spark.read.parquet(sink).drop("batch")
