@@ -3,7 +3,8 @@
 The n-grams of the normalised test items are a hash set that every task holds. Corpus documents are scanned once, in
 Arrow batches, without a shuffle: token windows are hashed with numpy, looked up, and the documents and items that share
 enough windows are verified by aligning the item with the part of the document where they lie. Every window of every
-whole text is looked at and every pair of a document and an item with enough hits is verified.
+whole text is looked at and every pair of a document and an item with enough hits is verified. Leaked documents can be
+dropped whole or have the leaked spans cut out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from difflib import SequenceMatcher
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,15 +98,15 @@ class TestItems:
         index = np.repeat(self.first[where] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(len(at))
         return at, self.owner[index], self.place[index]
 
-    def held(self, item: int, doc: list[int], shifts: list[tuple[int, int]]) -> tuple[float, int]:
-        """Share of the item's words that the document holds in passages, and how many passages. ``shifts``: where the item
+    def held(self, item: int, doc: list[int], shifts: list[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
+        """Share of the item's words that the document holds in passages, and where those begin and end in the document. ``shifts``: where the item
         would begin in the document, least and greatest, for each place where they run alongside."""
         size = len(self.ids[item])
         if item not in self.matchers:
             self.matchers[item] = SequenceMatcher(None, "", self.ids[item], autojunk=False)
         match = self.matchers[item]
         covered: set[int] = set()
-        passages = 0
+        passages: set[tuple[int, int]] = set()
         for least, most in shifts:
             lo, hi = max(0, least - SLACK), min(len(doc), most + size + SLACK)
             match.set_seq1(doc[lo:hi])
@@ -113,13 +115,25 @@ class TestItems:
                 a, b, n = block
                 if run and (a - run[-1][0] - run[-1][2] > SLACK or b - run[-1][1] - run[-1][2] > SLACK):
                     if sum(r[2] for r in run) >= PASSAGE:
-                        passages += 1
+                        passages.add((lo + run[0][0], lo + run[-1][0] + run[-1][2]))
                         for _, y, m in run:
                             covered.update(range(y, y + m))
                     run = []
                 if n > 1 or (run and n):
                     run.append((a, b, n))
-        return len(covered) / size, passages
+        return len(covered) / size, sorted(passages)
+
+    def whole(self, flat: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position in ``flat``, item, words) of items of fewer than PASSAGE words that stand whole in a document (``of`` each word)."""
+        for n in sorted(set(self.size[self.size < PASSAGE].tolist()) - {0}):
+            if len(flat) < n:
+                break
+            h, inside = _windows(flat, n), of[: len(flat) - n + 1] == of[n - 1 :]
+            for i in np.nonzero(self.size == n)[0].tolist():
+                own = _windows(np.array(self.ids[i]), n)[0]
+                for at in np.nonzero((h == own) & inside)[0].tolist():
+                    if flat[at : at + n].tolist() == self.ids[i]:
+                        yield at, i, n
 
 
 def _blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str]]]]:
@@ -134,18 +148,19 @@ def _blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list
         yield block
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc id, item id, ``share``, ``passages``) of each document that holds at least SHARE of an item's words in the item's
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", short: bool = False) -> DataFrame:
+    """(doc id, item id, ``share``, ``passages``, ``starts``, ``ends``: the passages' first words and ends in the document) of each document that holds at least SHARE of an item's words in the item's
     wording and order, in passages of at least PASSAGE words with alterations of at most SLACK words in a row.
 
     Items are few by nature; they are read to the driver and taken BLOCK_WORDS at a time, so that what a task holds is
-    bounded. Documents or items with a null, empty or very short text have no row; repeated items have one each; an
+    bounded. Items of fewer than PASSAGE words can't hold a passage; with ``short`` they count where they stand whole.
+    Documents or items with a null, empty or very short text have no row; repeated items have one each; an
     empty side gives no row. Other columns are ignored.
     """
     known = [(r[0], words(r[1])) for r in items.select(item_id, text).toLocalIterator()]
-    known = [(k, w) for k, w in known if len(w) >= PASSAGE]
+    known = [(k, w) for k, w in known if len(w) >= (1 if short else PASSAGE)]
     key = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField(doc_id, key), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("share", T.DoubleType()), T.StructField("passages", T.IntegerType())])
+    schema = T.StructType([T.StructField(doc_id, key), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("share", T.DoubleType()), T.StructField("passages", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends"))])
     plain = docs.select(doc_id, text)
     out = None
     for block in _blocks(known):
@@ -167,19 +182,26 @@ def _scan(block, doc_id: str, text: str, item_id: str, schema: T.StructType):
                     ids = part.column(doc_id)
                     yield pa.RecordBatch.from_arrays([
                         ids.take(pa.array([r[0] for r in rows])), pa.array([tests.keys[r[1]] for r in rows], arrow.field(1).type),
-                        pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32()),
+                        pa.array([r[2] for r in rows], pa.float64()), pa.array([len(r[3]) for r in rows], pa.int32()),
+                        *(pa.array([[s[e] for s in r[3]] for r in rows], pa.list_(pa.int32())).cast(arrow.field(4 + e).type) for e in (0, 1)),
                     ], schema=arrow)
 
     return run
 
 
-def _found(tests: TestItems, texts: list[str | None]) -> Iterator[tuple[int, int, float, int]]:
-    """(index of the text, index of the item, share, passages)."""
+def _found(tests: TestItems, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
+    """(index of the text, index of the item, share, where the passages begin and end)."""
     docs = [words(t) for t in texts]
     size = np.array([len(d) for d in docs], np.int64)
     flat = np.fromiter(map(tests.vocab.get, chain.from_iterable(docs), repeat(0)), np.int64, int(size.sum()))
     ends = size.cumsum()
     of = np.repeat(np.arange(len(docs)), size)
+    brief: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for p, i, n in tests.whole(flat, of):
+        d = int(of[p])
+        brief.setdefault((d, i), []).append((p - int(ends[d] - size[d]), p - int(ends[d] - size[d]) + n))
+    for (d, i), spans in brief.items():
+        yield d, i, 1.0, spans
     at, item, place = tests.hits(flat, np.repeat(ends, size) - np.arange(len(flat)))
     if not len(at):
         return
@@ -211,6 +233,51 @@ def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") ->
     return docs.join(found.select(doc_id).distinct(), doc_id, "left_anti")
 
 
+def _places(text: str) -> list[tuple[str, int, int]]:
+    """The :func:`words` of a text with the code points that each covers. A base character and its marks are normalised together."""
+    made, origin, i = [], [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and (unicodedata.combining(text[j]) or text[j] == "\u200d"):
+            j += 1
+        part = unicodedata.normalize("NFKC", text[i:j].translate(_UNSEEN)).lower()
+        made.append(part)
+        origin += [(i, j)] * len(part)
+        i = j
+    return [(m.group(), origin[m.start()][0], origin[m.end() - 1][1]) for m in _WORDS.finditer("".join(made))]
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words from ``start`` to before ``end`` of each span, and what stands between them."""
+    places = _places(text)
+    if [w for w, _, _ in places] != words(text):  # a rare composition across characters: the words themselves are what is left
+        kept = np.ones(len(words(text)), bool)
+        for a, b in spans:
+            kept[a:b] = False
+        return " ".join(w for w, k in zip(words(text), kept) if k)
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > a and places[b - 1][2] > at:
+            out.append(text[at : max(at, places[a][1])])
+            at = places[b - 1][2]
+    return "".join([*out, text[at:]])
+
+
+def without_spans(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the leaked passages cut out of ``text``, and ``words_cut``, the passages' words summed (of two that overlap both count); other documents stay as they are."""
+    spans = found.select(doc_id, F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy(doc_id).agg(F.collect_set("s").alias("_spans"))  # a document's own
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([cut_spans(t, [(s["starts"], s["ends"]) for s in x]) for t, x in zip(texts, own)])
+
+    met = docs.join(spans, doc_id, "left")
+    held, rest = met.filter(F.col("_spans").isNotNull()), met.filter(F.col("_spans").isNull())
+    total = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["ends"] - s["starts"])
+    whole = lambda d, value, n: d.select(*(value.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), n.alias("words_cut"))
+    return whole(held, cut(F.col(text), F.col("_spans")), total).unionByName(whole(rest, F.col(text), F.lit(0)))
+
+
 def leaks_by_item(found: DataFrame, item_id: str = "item_id") -> DataFrame:
     """Which test items leaked, into how many documents."""
     return found.groupBy(item_id).agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("most"))

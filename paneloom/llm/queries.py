@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .leakage import leaked, leaks_by_item, without_leaks
+from .leakage import leaked, leaks_by_item, without_leaks, without_spans
 from .subjects import composition, document_subjects
 from .tokens import decoded, encoded, encoded_with_offsets
 
@@ -45,6 +45,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(_table(spark, d, "documents").select("doc_id", "lang", "source"), p9_leaked(spark, d))
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with the leaked passages, and no more, cut out."""
+    return without_spans(_table(spark, d, "documents").select("doc_id", "text"), p9_leaked(spark, d))
+
+
 def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
     subjects = [(r[0], r[1]) for r in _table(spark, d, "subject_areas").select("subject", "description").orderBy("subject").collect()]  # nine rows
     return document_subjects(_table(spark, d, "documents"), _table(spark, d, "doc_labels"), subjects)
@@ -58,7 +63,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return composition(p10_subjects(spark, d), _table(spark, d, "documents"), ["lang", "source"])
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p8_covered, p9_found, p9_items, p9_clean, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p8_covered, p9_found, p9_items, p9_clean, p9_spans, p10_found, p10_composition)}
 ORACLE = {
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p8_covered": "select doc_id, cast(coalesce(length(text), 0) as integer) as code_points from documents",

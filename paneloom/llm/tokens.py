@@ -2,15 +2,18 @@
 
 Arrow batches go to the ``tokenizers`` library in the executors. Byte-level BPE never merges across the tokenizer's
 pre-tokens, so plain texts are cut with the tokenizer's own pattern and each distinct pre-token is encoded once for a
-worker; texts with characters outside the plain sets go to the library whole. The tokenizer file is a parameter and must
-be readable at the same path on every executor.
+worker; texts with characters outside the plain sets, and all texts of a tokenizer that normalises or cuts in another way,
+go to the library whole. The tokenizer file is a parameter and must be readable at the same path on every executor:
+``.json`` (tokenizers), ``.tiktoken`` (ranks) or ``.model`` (sentencepiece).
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -19,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct pre-tokens that a worker remembers before it starts anew; a bound on memory, not on results.
-REMEMBERED = 200_000
+#: Bytes of pre-tokens and ids that a worker remembers before it starts anew, and characters of the longest one that it
+#: remembers; bounds on memory, not on results.
+REMEMBERED, LONGEST = 32 << 20, 64
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -39,18 +43,58 @@ def load(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Lists of texts to lists of ids by the file's own library."""
+    if path.endswith(".tiktoken"):
+        import public_tokenizers
+        import tiktoken
+
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+        return lambda texts: [own.encode_ordinary(t) for t in texts]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: pieces.encode(texts, num_threads=1) if texts else []
+    return lambda texts: [e.ids for e in load(path).encode_batch(texts, add_special_tokens=False)]
+
+
 class _Remembered(dict):
     """Pre-token -> ids."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.encode, self.size = encode, 0
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self[piece] = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = self.encode([piece])[0]
+        if len(piece) <= LONGEST:
+            self.size += 200 + len(piece) + 8 * len(ids)
+            if self.size > REMEMBERED:
+                self.clear()
+                self.size = 0
+            self[piece] = ids
         return ids
 
 
+def _cuts_as_here(path: str) -> bool:
+    """Whether the file's tokenizer is byte-level BPE that leaves texts as they are and cuts them by the pattern below."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    cut, model = own.get("pre_tokenizer") or {}, own["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(plain and not own.get("normalizer") and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
+
+
 # The tokenizer's pattern over texts whose letters are ASCII or CJK ideographs and whose numbers are ASCII digits.
 _L = "A-Za-z一-龥"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
@@ -58,25 +102,24 @@ _PLAIN = re.compile(r"[\t\n\r -~一-龥、。《》“”，；：？！（）]*
 
 
 @lru_cache(maxsize=4)
-def _remembered(path: str) -> _Remembered:
-    return _Remembered(load(path))
+def _remembered(path: str) -> _Remembered | None:
+    """None where every text is the library's."""
+    return _Remembered(_encoder(path)) if _cuts_as_here(path) else None
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[list[int]]:
     """Ids of each text without special tokens; strings that look like special tokens are ordinary text; empty and null give []."""
     known = _remembered(path)
-    if len(known) > REMEMBERED:
-        known.clear()
     out: list[list[int]] = [[]] * len(texts)
     odd = []
     for i, text in enumerate(texts):
         if text:
-            if _PLAIN(text):
+            if known is not None and _PLAIN(text):
                 out[i] = list(chain.from_iterable(map(known.__getitem__, _PIECES.findall(text))))
             else:
                 odd.append(i)
-    for i, enc in zip(odd, known.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
-        out[i] = enc.ids
+    for i, ids in zip(odd, _encoder(path)([texts[i] for i in odd])):
+        out[i] = ids
     return out
 
 
@@ -103,7 +146,8 @@ def encoded(df: DataFrame, text: str, keep: list[str], path: str | None = None,
 
 def encoded_with_offsets(df: DataFrame, text: str, keep: list[str], path: str | None = None) -> DataFrame:
     """``ids`` with ``starts`` and ``ends``: for each token the code points of the text that it covers, end excluded. A
-    character that is split over several tokens belongs to each of them. Empty and null texts have empty lists."""
+    character that is split over several tokens belongs to each of them. Empty and null texts have empty lists. Only
+    ``.json`` files have offsets."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +175,13 @@ def byte_characters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id."""
+    """The bytes of each id of byte-level vocabulary."""
+    if path.endswith(".tiktoken"):
+        ranks = _ranks(path)
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            table[i] = token
+        return table
     back = byte_characters()
     vocab = load(path).get_vocab(with_added_tokens=True)
     table = [b""] * (max(vocab.values()) + 1)
@@ -142,7 +192,14 @@ def token_bytes(path: str) -> list[bytes]:
 
 def decode_ids(ids: list[int] | None, path: str) -> str:
     """The text of a whole list of ids. Bytes are joined before they are read as UTF-8, so that split characters come back;
-    bytes that are no UTF-8, as in a cut list, become U+FFFD."""
+    bytes that are no UTF-8, as in a cut list, become U+FFFD. Tokenizers that are not byte-level throughout are left to their
+    library, and don't give back what they normalise away."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).decode(list(ids or []))
+    if path.endswith(".json") and not _cuts_as_here(path):
+        return load(path).decode(list(ids or []), skip_special_tokens=False)
     table = token_bytes(path)
     return b"".join(table[i] for i in ids or []).decode("utf-8", errors="replace")
 

@@ -39,6 +39,27 @@ def test_cases(spark):
     assert L.leaked(d.limit(0), i).count() == 0 and L.leaked(d, i.limit(0)).count() == 0
 
 
+def test_spans_are_cut_out(spark):
+    item, before, after = some(60), some(30), some(25)
+    odd = " ".join(before) + ", ｗｉｄｅ é e\u0301: " + "\u200b; ".join(item[:40]) + "! " + " ".join(after)
+    d = spark.createDataFrame([(1, odd), (2, " ".join(after)), (3, None), (4, "")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:30] + some(10)))], "item_id long, text string")
+    found = L.leaked(d, i)
+    assert found.count() == 2  # both items hold the passage or a part of it
+    out = {r["doc_id"]: r for r in L.without_spans(d, found).collect()}
+    assert out[1]["text"] == " ".join(before) + ", ｗｉｄｅ é e\u0301: " + "! " + " ".join(after)
+    assert out[1]["words_cut"] >= 40 and (out[2]["text"], out[3]["text"], out[4]["text"]) == (" ".join(after), None, "")
+    assert L.leaked(d.select("doc_id", "text").join(spark.createDataFrame([], "doc_id long"), "doc_id"), i).count() == 0
+
+
+def test_short_items_stand_whole(spark):
+    item = some(5)
+    d = spark.createDataFrame([(1, " ".join(some(20) + item + some(3))), (2, " ".join(item[:4])), (3, " ".join(item[:3]))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(some(40)))], "item_id long, text string")
+    assert L.leaked(d, i).count() == 0
+    assert [(r["doc_id"], r["item_id"], r["share"]) for r in L.leaked(d, i, short=True).collect()] == [(1, 1, 1.0)]
+
+
 def brute(words, item):
     """Share of the item in common runs of at least PASSAGE words, by longest common substrings."""
     covered = set()

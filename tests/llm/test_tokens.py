@@ -34,6 +34,44 @@ def test_plain_path_equals_library(parts):
     assert K.encode_texts([text], PATH) == [plain(text)]
 
 
+def library(name, texts):
+    import base64
+
+    import public_tokenizers as P
+
+    if name.endswith(".json"):
+        return [plain(t) if name == "byte_bpe_50k.json" else K.load(P.path(name)).encode(t, add_special_tokens=False).ids for t in texts]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=P.path(name)).encode(texts)
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(name), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [own.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
+def test_every_public_tokenizer(name):
+    texts = [*ODD, "IT'S a Test\n\n  indent", "price 12345 up"]
+    got = K.encode_texts([*texts, None], K.default_path(name))
+    assert got == [*(x if t else [] for t, x in zip(texts, library(name, texts))), []]
+    if name.endswith(".tiktoken") or name.startswith("byte"):
+        assert [K.decode_ids(x, K.default_path(name)) for x in got[:-1]] == texts
+    assert K.decode_ids(got[-2], K.default_path(name)).split()[0].startswith("price")
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "REMEMBERED", 2000)
+    K._remembered.cache_clear()
+    words = [f"word{i} " * 3 + "漢" * 200 for i in range(100)]
+    assert K.encode_texts(words, PATH) == [plain(w) for w in words]
+    known = K._remembered(PATH)
+    assert len(known) < 20 and max(map(len, known)) <= K.LONGEST
+    K._remembered.cache_clear()
+
+
 def test_cut_lists_and_bytes():
     ids = plain("漢")
     assert K.decode_ids(ids[:-1], PATH).endswith("�") and len(K.byte_characters()) == 256
