@@ -84,6 +84,7 @@ class _Remembered(dict):
         return ids
 
 
+@lru_cache(maxsize=16)
 def _cuts_as_here(path: str) -> bool:
     """Whether the file's tokenizer is byte-level BPE that leaves texts as they are and cuts them by the pattern below."""
     if not path.endswith(".json"):
