@@ -271,12 +271,38 @@ def column(node: Node, known: set[Node]) -> Column:
     return ROW[node.op](*args, node.par) if node.op in WITH_PAR else ROW[node.op](*args)
 
 
+#: From more time operators than this on, windows are taken from matrices of instruments (``matrix_backend``) and not as columns.
+MANY = 40
+
+
+def _by_matrices(panel: DataFrame, roots: list[Node], known: set[Node], k: Keys) -> DataFrame:
+    """``panel`` with the columns from which :func:`column` makes ``roots``, which ``known`` then has."""
+    from .matrix_backend import outermost, with_cross, with_time
+
+    def ready(n: Node) -> bool:
+        return n in known or (kind(n) == "row" and all(map(ready, n.args)))
+
+    crossing = {n: None for root in roots for n in root.walk() if kind(n) == "cross"}
+    while True:
+        if nodes := outermost(roots, known):
+            panel = with_time(panel, nodes, known, k.instrument, k.order)
+            known |= set(nodes)
+        now = [n for n in crossing if n not in known and all(map(ready, n.args))]
+        if not now:
+            return panel
+        panel = with_cross(panel, now, known, k.instrument, k.session, k.group)
+        known |= set(now)
+
+
 def evaluate(panel: DataFrame, signals: dict[str, Node], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str | None = "industry") -> DataFrame:
     """``panel`` with one column for each signal. ``panel`` has one row for an instrument and session; ``order`` is the
     session's number, without holes within an instrument (see ``dense_panel``). Nulls stay null, results are never NaN
     or infinite: what would be is null."""
     k = Keys(instrument, order, session, group)
     known: set[Node] = set()
+    roots = list(signals.values())
+    if len({n for root in roots for n in root.walk() if kind(n) == "time"}) > MANY:
+        return _finished(_by_matrices(panel, roots, known, k), signals, known)
     for what, nodes in schedule(list(signals.values())):
         frames = Frames(k)
         make = (lambda n, a, keys: _time(n, a, keys, frames)) if what == "time" else _cross
@@ -288,6 +314,10 @@ def evaluate(panel: DataFrame, signals: dict[str, Node], instrument: str = "ts_c
         shared = frames.columns()
         panel = panel.withColumns(shared).withColumns(made).drop(*shared)
         known |= set(nodes)
+    return _finished(panel, signals, known)
+
+
+def _finished(panel: DataFrame, signals: dict[str, Node], known: set[Node]) -> DataFrame:
     out = {name: column(node, known) for name, node in signals.items()}
     finite = {name: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c) for name, c in out.items()}
     return panel.withColumns(finite).drop(*(n.key for n in known))
