@@ -3,39 +3,40 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import below
 
-def block_bootstrap(series: DataFrame, order: str, value: str, block: int, replicates: int = 1000, seed: int = 7, chunks: int = 8) -> DataFrame:
-    """Means of circular moving-block replicates: (``replicate``, ``mean``). Missing values keep their place and a replicate's
-    mean is a ratio of sums. The series (one value a session) goes to every task as arrays of prefix sums; replicates are
-    spread over tasks and each has its own seed, so that the result does not depend on how they are spread."""
-    rows = series.orderBy(order).select(value).toPandas()[value].to_numpy(float)  # one row a session
-    spark, n = series.sparkSession, len(rows)
-    shared = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(np.nan_to_num(np.tile(rows, 2)))]), np.concatenate([[0], np.cumsum(~np.isnan(np.tile(rows, 2)))])))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, counts = shared.value
-        for batch in batches:
-            out = []
-            for rep in batch["id"].tolist():
-                if not n:
-                    out.append((rep, None))
-                    continue
-                start = np.random.default_rng([seed, rep]).integers(0, n, -(-n // block))
-                size = np.full(len(start), min(block, n))
-                size[-1] = n - block * (len(start) - 1) if block <= n else n
-                k = (counts[start + size] - counts[start]).sum()
-                out.append((rep, float((sums[start + size] - sums[start]).sum() / k) if k else None))
-            yield pd.DataFrame(out, columns=["replicate", "mean"])
-
-    return spark.range(0, replicates, 1, chunks).mapInPandas(run, "replicate long, mean double")
+
+def block_bootstrap(series: DataFrame, order: str, value: str, block: int, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """Means and deviations of circular moving-block replicates: (``replicate``, ``mean``, ``sd``). Missing values keep their place and a
+    replicate's mean is a ratio of sums. A block's start is a hash of seed, replicate and block, so that draws depend on
+    nothing else; its sums are differences of the series' running sums, met by equi-joins on the place in the series."""
+    spark = series.sparkSession
+    w = Window.orderBy(order)  # one row a session
+    rows = series.select(F.col(value).cast("double").alias("_v"), F.row_number().over(w).alias("_p"), F.row_number().over(w).alias("_o"))
+    so_far = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"_s": F.sum(F.coalesce("_v", F.lit(0.0))), "_q": F.sum(F.coalesce(F.col("_v") * F.col("_v"), F.lit(0.0))), "_k": F.count("_v")}
+    past = rows.select("_p", *(s.over(so_far).cast("double").alias(c) for c, s in sums.items()))
+    n, *whole = past.agg(F.coalesce(F.max("_p"), F.lit(0)), *(F.coalesce(F.max_by(c, "_p"), F.lit(0.0)) for c in sums)).first()
+    if not n:
+        return spark.range(replicates).select(F.col("id").alias("replicate"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sd"))
+    size = min(block, n)
+    blocks = -(-n // size)
+    past = past.unionByName(spark.range(1).select(F.lit(0).alias("_p"), *(F.lit(0.0).alias(c) for c in sums)))
+    drawn = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_j").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    drawn = drawn.withColumn("_a", start.cast("int"))
+    drawn = drawn.withColumn("_b", F.col("_a") + F.when(F.col("_j") < blocks - 1, F.lit(size)).otherwise(F.lit(n - size * (blocks - 1))))
+    ends = drawn.select("replicate", F.explode(F.array(F.struct(F.col("_a").alias("_p"), F.lit(-1.0).alias("_w"), F.lit(0.0).alias("_t")), F.struct(F.when(F.col("_b") > n, F.col("_b") - n).otherwise(F.col("_b")).alias("_p"), F.lit(1.0).alias("_w"), (F.col("_b") > n).cast("double").alias("_t")))).alias("e")).select("replicate", "e.*")
+    met = ends.join(past, "_p").groupBy("replicate").agg(*(F.sum(F.col("_w") * F.col(c) + F.col("_t") * x).alias(c) for c, x in zip(sums, whole)))
+    mean = F.col("_s") / F.when(F.col("_k") > 0, F.col("_k"))
+    var = (F.col("_q") - F.col("_k") * mean * mean) / F.when(F.col("_k") > 1, F.col("_k") - 1)
+    return met.select("replicate", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
 
 
 def bootstrap_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
@@ -44,14 +45,9 @@ def bootstrap_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     return means.agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"), ((F.sum((F.col("mean") <= 0).cast("int")) + 1) / (F.count("mean") + 1)).alias("p"))
 
 
-def lower_icir_bound(values: np.ndarray, block: int, shrink: float = 0.047, level: float = 0.05, replicates: int = 500, seed: int = 7) -> float:
-    """Lower quantile over circular blocks of mean / (sd + shrink)."""
-    n, rng, out = len(values), np.random.default_rng(seed), []
-    for _ in range(replicates):
-        at = (rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)).ravel()[:n] % n
-        own = values[at]
-        out.append(own.mean() / (own.std(ddof=1) + shrink))
-    return float(np.quantile(out, level))
+def lower_icir_bound(series: DataFrame, order: str, value: str, block: int, shrink: float = 0.047, level: float = 0.05, replicates: int = 500) -> DataFrame:
+    """One row ``bound``: the lower quantile over circular-block replicates of mean / (sd + shrink)."""
+    return block_bootstrap(series, order, value, block, replicates).agg(F.percentile(F.col("mean") / (F.col("sd") + shrink), F.lit(level)).alias("bound"))
 
 
 def hac_variance(series: DataFrame, order: str, value: str, lags: int) -> DataFrame:
@@ -91,11 +87,19 @@ def required_sections(mean: float, sd: float, alpha: float = 0.05, power: float
     return math.ceil(((q(1 - alpha / 2) + q(power)) * sd / mean) ** 2) if mean else 0
 
 
-def deflated_sharpe(sharpe: float, n: int, skew: float, kurt: float, trials: int, spread: float) -> float:
-    """Probability that a Sharpe ratio (per period) exceeds what the best of ``trials`` without skill would show."""
+def best_by_chance(trials: int, spread: float) -> float:
+    """Sharpe ratio that the best of so many trials without skill would show."""
     norm, gamma = NormalDist(), 0.5772156649015329
-    best = spread * ((1 - gamma) * norm.inv_cdf(1 - 1 / trials) + gamma * norm.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
-    return norm.cdf((sharpe - best) * math.sqrt(n - 1) / math.sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe))
+    return spread * ((1 - gamma) * norm.inv_cdf(1 - 1 / trials) + gamma * norm.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
+
+
+def deflated_sharpe(returns: DataFrame, value: str, trials: int, spread: float) -> DataFrame:
+    """One row (``n``, ``probability``): that a Sharpe ratio (per period) exceeds what the best of ``trials`` without skill would show;
+    null for fewer than three periods or no variance."""
+    s = returns.agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt"))
+    ratio = F.col("m") / F.when(F.col("sd") > 0, F.col("sd"))
+    z = (ratio - best_by_chance(trials, spread)) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * ratio + (F.col("kurt") - 1) / 4 * ratio * ratio)
+    return s.select("n", F.when(F.col("n") > 2, below(z)).alias("probability"))
 
 
 def overfitting_probability(table: np.ndarray, parts: int = 8) -> float:

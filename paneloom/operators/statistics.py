@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import quantile
+
 TINY = 1e-12
 
 
@@ -188,15 +190,7 @@ def mixed_ranks(a: str, b: str) -> Column:
 
 def normal_scores(place: Column) -> Column:
     """Standard normal quantiles of ranks in (0, 1), ranks held within 1e-4 of the ends and scores within -4..4."""
-    from statistics import NormalDist
-
-    from pyspark.sql import types as T
-
-    def quantile(p: pd.Series) -> pd.Series:
-        inverse = NormalDist().inv_cdf
-        return p.clip(1e-4, 1 - 1e-4).map(inverse, na_action="ignore").clip(-4, 4)
-
-    return F.pandas_udf(quantile, T.DoubleType())(place)
+    return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), quantile(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), place))))) + F.when(place.isNotNull(), 0.0)
 
 
 # Small k by k problems on the driver

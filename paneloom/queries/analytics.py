@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import two_sided, two_sided_sql
 from ..operators import inference as I
 from ..operators import models as M
 from ..operators import simulation as X
@@ -54,13 +55,13 @@ def _ic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p_values(spark: SparkSession, d: str) -> DataFrame:
-    """One test a month: a p-value from a t statistic by a bound that either engine can compute."""
+    """One test a month: the two-sided normal p-value of its t statistic."""
     own = S.rank_ic(scored(spark, d), ["trade_date"], least=MIN).withColumn("month", F.substring("trade_date", 1, 6))
     t = S.describe(own, "spearman", ["month"])
-    return t.select("month", F.round(F.exp(-0.5 * F.col("t") * F.col("t")), 8).alias("p"))
+    return t.select("month", F.round(two_sided(F.col("t")), 8).alias("p"))
 
 
-_P = BASE + ic_sql("trade_date") + ", m as (select trade_date[1:6] as month, avg(spearman) as a, stddev_samp(spearman) as s, count(spearman) as n from ic where spearman is not null group by 1), tests as (select month, round(exp(-0.5 * pow(case when s > 1e-12 then a / s end * sqrt(n), 2)), 8) as p from m)"
+_P = BASE + ic_sql("trade_date") + ", m as (select trade_date[1:6] as month, avg(spearman) as a, stddev_samp(spearman) as s, count(spearman) as n from ic where spearman is not null group by 1), ts as (select month, case when s > 1e-12 then a / s end * sqrt(n) as z from m), tests as (select month, round(" + two_sided_sql("z") + ", 8) as p from ts)"
 
 
 @query(_P + ", a as (select month, p, least(1.0, (count(*) over () - row_number() over (order by p, month) + 1) * p) as s from tests where p is not null) select month, p, round(max(s) over (order by p, month), 8) as holm from a")
@@ -79,10 +80,20 @@ def inf_hac(spark: SparkSession, d: str) -> DataFrame:
     return own.select("n", (F.round("mean", 6) + 0.0).alias("mean"), F.round(F.col("variance") * 1e4, 6).alias("variance_e4"))
 
 
-@query()
+def bootstrap_sql(source: str, order: str, value: str, block: int, replicates: int, name: str = "rep", seed: int = 7) -> str:
+    """``, {name} as (replicate, mean, sd)`` with the draws of :func:`block_bootstrap`, summed value by value."""
+    return f""", {name}_v as (select cast({value} as double) as v, row_number() over (order by {order}) - 1 as p, count(*) over () as n from {source}),
+{name}_n as (select max(n) as n, least(max(n), {block}) as b from {name}_v),
+{name}_d as (select r, j, n, b, cast('0x' || substr(md5('{seed}|' || r || '|' || j), 1, 8) as bigint) % n as a, case when j < ceil(n / b) - 1 then b else n - b * (ceil(n / b) - 1) end as size
+  from {name}_n, range(0, {replicates}) x(r), range(0, 4096) y(j) where j < ceil(n / b)),
+{name}_e as (select r, (a + unnest(range(0, cast(size as bigint)))) % n as p from {name}_d),
+{name} as (select e.r as replicate, avg(v) as mean, stddev_samp(v) as sd from {name}_e e join {name}_v using (p) group by 1)"""
+
+
+@query(BASE + ic_sql("idx") + bootstrap_sql("ic", "idx", "spearman", 20, 500) + " select round(quantile_cont(mean, 0.025), 7) + 0.0 as low, round(quantile_cont(mean, 0.975), 7) + 0.0 as high, round((sum((mean <= 0)::int) + 1) / (count(mean) + 1), 7) as p from rep")
 def inf_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    means = I.block_bootstrap(_ic(spark, d), "idx", "spearman", block=20, replicates=500)
-    return I.bootstrap_interval(means)
+    own = I.bootstrap_interval(I.block_bootstrap(_ic(spark, d), "idx", "spearman", block=20, replicates=500))
+    return own.select((F.round("low", 7) + 0.0).alias("low"), (F.round("high", 7) + 0.0).alias("high"), F.round("p", 7).alias("p"))
 
 
 _MARKET = {"m": fn("xmean", fn("clip", r, par=(-0.3, 0.3)))}
@@ -173,9 +184,18 @@ def mod_residual(spark: SparkSession, d: str) -> DataFrame:
     return r6(own, KEYS, ["residual", "r2"])
 
 
-@query()
+def _two_regressors(ridge: float) -> str:
+    """``, g as (ts_code, trade_date, score, label, res, r2)``: score on quiet and thin, both standardised by session."""
+    z = lambda x: f"({x} - avg({x}) over d) / case when stddev_pop({x}) over d > 1e-12 then stddev_pop({x}) over d else 1 end"
+    return f""", f as (select ts_code, trade_date, score, label, score - avg(score) over d as t, {z("quiet")} as x, {z("thin")} as y, count(*) over d as n from scored where score is not null and quiet is not null and thin is not null window d as (partition by trade_date)),
+m as (select *, sum(x * x) over d + {ridge} * n as xx, sum(y * y) over d + {ridge} * n as yy, sum(x * y) over d as xy, sum(x * t) over d as xt, sum(y * t) over d as yt from f where n >= 10 window d as (partition by trade_date)),
+w as (select *, t - ((xt * yy - yt * xy) * x + (yt * xx - xt * xy) * y) / (xx * yy - xy * xy) as res from m),
+g as (select *, case when sum(t * t) over d > 0 then 1 - sum(res * res) over d / sum(t * t) over d end as r2 from w window d as (partition by trade_date))"""
+
+
+@query(BASE + _two_regressors(0.1) + " select ts_code, trade_date, round(res, 6) + 0.0 as residual, round(r2, 6) + 0.0 as r2 from g")
 def mod_ridge_residual(spark: SparkSession, d: str) -> DataFrame:
-    own = M.residual_on(scored(spark, d), "trade_date", "score", ["quiet", "thin"], ridge=0.1)
+    own = M.residual_on(scored(spark, d), "trade_date", "score", ["quiet", "thin"], ridge=0.1).filter("residual is not null")
     return r6(own, KEYS, ["residual", "r2"])
 
 

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_number, instrument_code
+from ..functions.normal import two_sided_sql
 from ..operators import inference as I
 from ..operators import models as M
 from ..operators import screening as G
 from ..operators import statistics as S
 from ..sources.panel import dense_panel, panel_sql, sessions
 from ..sources.tables import table
-from .analytics import _market, _MARKET_SQL
+from .analytics import _market, _MARKET_SQL, _two_regressors, bootstrap_sql
 from .problem_sql import CODE, _day
-from .statistics import BASE, MIN, _corr, ic_sql, r6, scored
+from .statistics import _PAIRS, BASE, MIN, _corr, _mean_rank_corr, ic_sql, r6, scored
 
 QUERIES, SQL = {}, {}
 
@@ -34,23 +35,29 @@ def _ic(spark: SparkSession, d: str) -> DataFrame:
     return S.rank_ic(scored(spark, d), ["idx", "trade_date"], least=MIN).withColumn("year", F.substring("trade_date", 1, 4))
 
 
-@query()
+_SCREEN = "".join(bootstrap_sql("turned", "idx", "v", b, 200, f"b{b}") for b in (10, 20, 40))
+
+
+@query(BASE + ic_sql("idx, trade_date") + ", sg as (select case when avg(spearman) >= 0 then 1.0::double else -1.0::double end as s from ic), turned as (select idx, trade_date[1:4] as year, spearman * s as v from ic, sg where spearman is not null)" + _SCREEN + ", lows as (" + " union all ".join(f"select quantile_cont(mean, 0.0025) as low from b{b}" for b in (10, 20, 40)) + "), ys as (select avg((m > 0)::int) as years from (select year, avg(v) as m from turned group by 1)) select s as direction, round(min(low), 7) + 0.0 as low, round(max(years), 7) as years, min(low) > 0 and max(years) >= 0.6 as passed from lows, ys, sg group by s")
 def inf_evidence_screen(spark: SparkSession, d: str) -> DataFrame:
-    return G.evidence_screen(_ic(spark, d), "idx", "spearman", "year")
+    own = G.evidence_screen(_ic(spark, d), "idx", "spearman", "year")
+    return own.select("direction", (F.round("low", 7) + 0.0).alias("low"), F.round("years", 7).alias("years"), "passed")
 
 
-@query()
+@query(BASE + ic_sql("trade_date") + ", ms as (select trade_date[1:6] as month, avg(spearman) as v from ic group by 1)" + bootstrap_sql("ms", "month", "v", 1, 500) + " select round(quantile_cont(mean, 0.025), 7) + 0.0 as low, round(quantile_cont(mean, 0.975), 7) + 0.0 as high, round((sum((mean <= 0)::int) + 1) / (count(mean) + 1), 7) as p from rep")
 def inf_month_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean from months drawn with replacement."""
     months = _ic(spark, d).groupBy(F.substring("trade_date", 1, 6).alias("month")).agg(F.avg("spearman").alias("v"))
-    return I.bootstrap_interval(I.block_bootstrap(months, "month", "v", 1, 500))
+    own = I.bootstrap_interval(I.block_bootstrap(months, "month", "v", 1, 500))
+    return own.select((F.round("low", 7) + 0.0).alias("low"), (F.round("high", 7) + 0.0).alias("high"), F.round("p", 7).alias("p"))
 
 
-@query()
+_BEST = I.best_by_chance(20, 0.05)
+
+
+@query(_MARKET_SQL + f", a as (select avg(m) as a, count(m) as n, stddev_samp(m) as sd from market), b as (select max(a.n) as n, max(a.a / a.sd) as r, avg(pow(m - a.a, 2)) as v, avg(pow(m - a.a, 3)) as t, avg(pow(m - a.a, 4)) as f from market, a where m is not null), z as (select n, (r - {_BEST!r}::double) * sqrt(n - 1) / sqrt(1 - t / pow(v, 1.5) * r + (f / v / v - 1) / 4 * r * r) as z from b) select n, round(case when z >= 0 then 1 - {two_sided_sql('z')} / 2 else {two_sided_sql('z')} / 2 end, 7) as probability from z")
 def inf_deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    m = _market(spark, d).agg(F.count("m"), F.avg("m"), F.stddev_samp("m"), F.skewness("m"), F.kurtosis("m")).first()
-    p = I.deflated_sharpe(m[1] / m[2], m[0], m[3], m[4] + 3, 20, 0.05) if m[0] > 2 and m[2] else None
-    return spark.createDataFrame([(int(m[0]), p)], "n long, probability double")
+    return I.deflated_sharpe(_market(spark, d), "m", 20, 0.05).select("n", F.round("probability", 7).alias("probability"))
 
 
 @query()
@@ -68,12 +75,11 @@ def inf_shrunk_ratio(spark: SparkSession, d: str) -> DataFrame:
     return s.select((F.round(G.shrunk_ratio(F.col("m"), F.col("s")), 6) + 0.0).alias("shrunk"), F.round(G.soft_gate(F.col("m")), 6).alias("gate"))
 
 
-@query()
+@query(BASE + ic_sql("idx") + ", own as (select idx, spearman from ic where spearman is not null)" + bootstrap_sql("own", "idx", "spearman", 20, 500) + " select round(quantile_cont(mean / (sd + 0.047), 0.05), 6) + 0.0 as bound from rep")
 def inf_lower_bound(spark: SparkSession, d: str) -> DataFrame:
     """Lower confidence bound of the shrunk ratio over circular blocks."""
-    own = _ic(spark, d).dropna().orderBy("idx").select("spearman").toPandas()  # one row a session
-    v = own["spearman"].to_numpy()
-    return spark.createDataFrame([(len(v), I.lower_icir_bound(v, 20) if len(v) > 20 else None)], "n int, bound double")
+    own = _ic(spark, d).select("idx", "spearman").filter("spearman is not null")
+    return I.lower_icir_bound(own, "idx", "spearman", 20).select((F.round("bound", 6) + 0.0).alias("bound"))
 
 
 @query("with g as (select factor_id, avg(icir_mean) as a, avg(rank_autocorr) as b, avg(wfa_survival_rate) as c, 1 - avg(estimated_turnover) as d from factor_performance group by 1), i as (select factor_id, (least(1, abs(a)) + greatest(0, b) + c + greatest(0, d)) / 4 as x from g) select factor_id, round(x, 6) as robustness, case when round(x, 6) >= 0.6 then 'A' when round(x, 6) >= 0.4 then 'B' when round(x, 6) >= 0.25 then 'C' else 'D' end as grade from i")
@@ -106,7 +112,10 @@ def stat_calendar_series(spark: SparkSession, d: str) -> DataFrame:
     return G.calendar_series(_market(spark, d).filter("m is not null"), sessions(spark, d), "idx", "m")
 
 
-@query()
+_CORR = ", c as (" + " union all ".join(_mean_rank_corr(a, b, 15) for a, b in _PAIRS) + "), w as (select coalesce(max(correlation) filter (one = 'quiet' and other = 'score'), 0) as qs, coalesce(max(correlation) filter (one = 'quiet' and other = 'thin'), 0) as qt, coalesce(max(correlation) filter (one = 'score'), 0) as st from c)"
+
+
+@query(BASE + _CORR + ", d as (select *, 1 + 2 * qs * qt * st - qs * qs - qt * qt - st * st as det from w) select 'quiet' as signal, round((1 - st * st) / det, 6) as vif from d union all select 'score', round((1 - qt * qt) / det, 6) from d union all select 'thin', round((1 - qs * qs) / det, 6) from d")
 def port_variance_inflation(spark: SparkSession, d: str) -> DataFrame:
     m = S.correlation_matrix(scored(spark, d), "trade_date", ["quiet", "score", "thin"], MIN).toPandas()  # k (k - 1) / 2 rows
     return spark.createDataFrame(sorted(S.variance_inflation(m.fillna(0)).items()), "signal string, vif double")
@@ -149,20 +158,20 @@ def mod_shapley(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, round(v, 6)) for n, v in G.shapley(value, names).items()], "signal string, value double")
 
 
-@query()
+@query(BASE + _two_regressors(0.0) + ", mixed as (select trade_date, score, round(res, 8) + 0.0 as residual, round(score - res, 8) + 0.0 as explained, label from g)" + "".join(ic_sql("trade_date", source="mixed", score=part, name=f"ic_{part}") for part in ("score", "explained", "residual")) + " " + " union all ".join(f"select '{part}' as part, count(spearman) as n, round(avg(spearman), 6) + 0.0 as mean from ic_{part}" for part in ("score", "explained", "residual")))
 def mod_style_attribution(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of a signal raw, of what styles explain of it, and of what is left."""
     own = scored(spark, d)
     res = M.residual_on(own, "trade_date", "score", ["quiet", "thin"]).filter("residual is not null")
-    met = res.join(own.select("ts_code", "trade_date", "score", "label"), ["ts_code", "trade_date"]).withColumn("explained", F.col("score") - F.col("residual"))
+    met = res.join(own.select("ts_code", "trade_date", "score", "label"), ["ts_code", "trade_date"]).withColumn("explained", F.round(F.col("score") - F.col("residual"), 8) + 0.0).withColumn("residual", F.round("residual", 8) + 0.0)
     out = None
     for part in ("score", "explained", "residual"):
-        ic = S.rank_ic(met, ["trade_date"], score=part, least=MIN).agg(F.lit(part).alias("part"), F.count("spearman").alias("n"), F.round(F.avg("spearman"), 6).alias("mean"))
+        ic = S.rank_ic(met, ["trade_date"], score=part, least=MIN).agg(F.lit(part).alias("part"), F.count("spearman").alias("n"), (F.round(F.avg("spearman"), 6) + 0.0).alias("mean"))
         out = ic if out is None else out.unionByName(ic)
     return out
 
 
-@query()
+@query(BASE + _CORR + ", e as (select abs(qs) >= 0.3 as qs, abs(qt) >= 0.3 as qt, abs(st) >= 0.3 as st from w) select 'quiet' as signal, 'quiet' as cluster from e union all select 'score', case when qs or (st and qt) then 'quiet' else 'score' end from e union all select 'thin', case when qt or (st and qs) then 'quiet' when st then 'score' else 'thin' end from e")
 def mod_signal_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Signals whose mean absolute rank correlation is high, as clusters named by their first member."""
     m = S.correlation_matrix(scored(spark, d), "trade_date", ["quiet", "score", "thin"], MIN)

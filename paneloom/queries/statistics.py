@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..functions.normal import quantile_sql
 from ..operators import statistics as S
 from ..plans.duck_backend import named
 from ..plans.nodes import Node, fn, lag, mean, pct, std
@@ -265,9 +266,9 @@ def port_top_turnover(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = [("quiet", "score"), ("quiet", "thin"), ("score", "thin")]
 
 
-def _mean_rank_corr(a: str, b: str) -> str:
+def _mean_rank_corr(a: str, b: str, digits: int = 6) -> str:
     ra, rb = (f"case when {x} is not null then rank() over (partition by trade_date, {x} is null order by {x}) + (count(*) over (partition by trade_date, {x}) - 1) / 2 end" for x in (a, b))
-    return f"select '{a}' as one, '{b}' as other, round(avg(c), 6) as correlation from (select trade_date, case when count(*) >= {MIN} then {_corr('x', 'y')} end as c from (select trade_date, {ra} as x, {rb} as y from scored) where x is not null and y is not null group by 1)"
+    return f"select '{a}' as one, '{b}' as other, round(avg(c), {digits}) as correlation from (select trade_date, case when count(*) >= {MIN} then {_corr('x', 'y')} end as c from (select trade_date, {ra} as x, {rb} as y from scored) where x is not null and y is not null group by 1)"
 
 
 @query(BASE + " " + " union all ".join(_mean_rank_corr(a, b) for a, b in _PAIRS))
@@ -307,6 +308,6 @@ def port_ic_stability(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.round(F.col("sd") / F.abs("m"), 5).alias("variation"), F.round(composite, 6).alias("composite"), passed.alias("passed"))
 
 
-@query()
+@query(BASE + f" select ts_code, trade_date, case when score is not null then round({quantile_sql('greatest(0.0001, least(0.9999, score))')}, 6) + 0.0 end as normal from scored")
 def port_normal_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("ts_code", "trade_date", F.round(S.normal_scores(F.col("score")), 6).alias("normal"))
+    return scored(spark, d).select("ts_code", "trade_date", (F.round(S.normal_scores(F.col("score")), 6) + 0.0).alias("normal"))
