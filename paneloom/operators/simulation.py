@@ -79,11 +79,13 @@ def held_returns(scored: DataFrame, order: str, key: str, score: str, ret: str,
     return met.select(order, "gross", turnover.alias("turnover"), (F.col("gross") - turnover * cost).alias("net"))
 
 
-def lot_rule(code: str) -> tuple[int, int]:
-    """(least buy, step) in shares of the code's board."""
+def lot_rule(code: str) -> tuple[int, int, int]:
+    """(least buy, step, greatest order) in shares of the code's board."""
     if code.startswith(("688", "689")):
-        return 200, 1
-    return (100, 1) if code.endswith(".BJ") else (100, 100)
+        return 200, 1, 100_000
+    if code.endswith(".BJ"):
+        return 100, 1, 1_000_000
+    return 100, 100, 300_000 if code.startswith("30") else 1_000_000
 
 
 def _money(x: Decimal) -> Decimal:
@@ -91,24 +93,48 @@ def _money(x: Decimal) -> Decimal:
 
 
 class Account:
-    """Cash and lots of one account in exact decimals. Shares bought in a session are free the next one."""
+    """Cash and shares of one account in exact decimals. Shares bought in a session are free the next one. ``tax`` on sales is a rate,
+    or (first session, rate) pairs in order."""
 
-    def __init__(self, cash: str, commission: str = "0.0003", least_commission: str = "5", tax: str = "0.0005", slippage: str = "0.0005", participation: str = "0.05") -> None:
+    def __init__(self, cash: str, commission: str = "0.0003", least_commission: str = "5", tax: str | list[tuple[int, str]] = "0.0005", slippage: str = "0.0005", participation: str = "0.05") -> None:
         self.cash = Decimal(cash)
-        self.commission, self.least, self.tax, self.slippage, self.participation = (Decimal(x) for x in (commission, least_commission, tax, slippage, participation))
+        self.commission, self.least, self.slippage, self.participation = (Decimal(x) for x in (commission, least_commission, slippage, participation))
+        self.taxes = [(int(at), Decimal(rate)) for at, rate in tax] if isinstance(tax, list) else [(0, Decimal(tax))]
         self.shares: dict[str, int] = {}
         self.fresh: dict[str, int] = {}
         self.last: dict[str, Decimal] = {}
-        self.refused = 0
+        self.claims: list[tuple[int, int, str, Decimal, int]] = []
+        self.refused, self.now = 0, 0
+
+    def begin(self, now: int) -> None:
+        """A new session: yesterday's shares are free, claims that are due are paid and credited."""
+        self.now, self.fresh = now, {}
+        for _, due, name, money, quantity in [c for c in self.claims if c[1] <= now]:
+            self.cash += money
+            if quantity:
+                self.shares[name] = self.shares.get(name, 0) + quantity
+        self.claims = [c for c in self.claims if c[1] > now]
+
+    def entitle(self, name: str, cash: Decimal, stock: Decimal, ex: int, paid: int, listed: int) -> None:
+        """Claims of what is held at the close of the record session: cash and whole new shares for each share, counted in the
+        account's value from the ex session on."""
+        held = self.shares.get(name, 0)
+        if held and cash:
+            self.claims.append((ex, max(paid, ex), name, _money(cash * held), 0))
+        if held and int(stock * held):
+            self.claims.append((ex, max(listed, ex), name, Decimal(0), int(stock * held)))
 
     def _price(self, price: Decimal, side: int) -> Decimal:
         return (price * (1 + side * self.slippage)).quantize(Decimal("0.01"), ROUND_HALF_UP)
 
     def trade(self, bars: dict[str, dict], weights: dict[str, float]) -> int:
         """Sells first, then buys, at the session's open; returns the fills. Names that are paused or open at their limit, and
-        shares bought this session, don't trade; volume before caps what does."""
-        self.fresh = {}
+        shares bought this session, don't trade; volume before and the board's greatest order cap what does. Without a price
+        for a holding, nothing trades."""
         nav = self.value(bars, "open")
+        if nav is None:
+            self.refused += 1
+            return 0
         fills = 0
         want = {s: int(Decimal(str(w)) * nav / bars[s]["open"]) for s, w in weights.items() if bars.get(s, {}).get("open")}
         for side in (-1, 1):
@@ -123,7 +149,10 @@ class Account:
                     self.refused += 1
                     continue
                 quantity = min(abs(gap), int(bar["before"] * self.participation))
-                least, step = lot_rule(s)
+                least, step, most = lot_rule(s)
+                quantity = min(quantity, most)
+                if side < 0:
+                    quantity = min(quantity, self.shares[s] - self.fresh.get(s, 0))
                 if side > 0 or quantity < self.shares[s]:  # an odd rest may be sold whole
                     quantity = quantity // step * step if quantity >= least else 0
                 paid = self._price(price, side)
@@ -134,7 +163,7 @@ class Account:
                 if not quantity:
                     continue
                 amount = paid * quantity
-                fee = max(self.least, _money(amount * self.commission)) + (_money(amount * self.tax) if side < 0 else 0)
+                fee = max(self.least, _money(amount * self.commission)) + (_money(amount * self._tax()) if side < 0 else 0)
                 if side > 0 and amount + fee > self.cash:
                     continue
                 self.cash -= side * amount + fee
@@ -146,36 +175,55 @@ class Account:
                 fills += 1
         return fills
 
-    def value(self, bars: dict[str, dict], at: str) -> Decimal:
+    def _tax(self) -> Decimal:
+        return max((at, rate) for at, rate in self.taxes if at <= self.now or at == self.taxes[0][0])[1]
+
+    def value(self, bars: dict[str, dict], at: str) -> Decimal | None:
+        """Cash, claims from their ex session on, and shares at their last price; None where a holding never had one."""
         for s, bar in bars.items():
             if bar.get(at):
                 self.last[s] = bar[at]
-        return self.cash + sum((self.last.get(s, Decimal(0)) * q for s, q in self.shares.items()), Decimal(0))
+        own = [(s, q, Decimal(0)) for s, q in self.shares.items()] + [(s, q, money) for ex, _, s, money, q in self.claims if ex <= self.now]
+        if any(q and s not in self.last for s, q, _ in own):
+            return None
+        return self.cash + sum((money + (self.last[s] * q if q else 0) for s, q, money in own), Decimal(0))
 
 
-def simulate_accounts(rows: DataFrame, account: str, order: str, key: str, cash: str = "1000000") -> DataFrame:
+def simulate_accounts(rows: DataFrame, account: str, order: str, key: str, cash: str = "1000000", tax: str | list[tuple[int, str]] = "0.0005", entitlements: DataFrame | None = None) -> DataFrame:
     """(account, order, ``nav``, ``cash``, ``positions``, ``fills``, ``refused``) by session. ``rows`` has for each account, session and
     name: ``weight`` (to be held from this session's open; null: no decision that day), ``open``, ``close``, ``before`` (the
-    volume of the session before, in shares), ``up_limit``, ``down_limit``. A name without a price keeps its last one."""
-    cols = ["weight", "open", "close", "before", "up_limit", "down_limit"]
+    volume of the session before, in shares), ``up_limit``, ``down_limit``. A name without a price keeps its last one, ``nav`` is null
+    where it never had one. ``entitlements`` (key, order of the record session, ``cash`` and ``stock`` for each share, and the sessions
+    ``ex``, ``paid``, ``listed``), one row for a key and session, give what is held at that close its claims."""
+    cols, claims = ["weight", "open", "close", "before", "up_limit", "down_limit"], ["cash", "stock", "ex", "paid", "listed"]
+    if entitlements is None:
+        rows = rows.withColumns({c: F.lit(None).cast("double" if c in ("cash", "stock") else "int") for c in claims})
+    else:
+        rows = rows.join(entitlements.select(order, key, *claims), [order, key], "left")
 
     def start() -> dict:
-        return {"account": Account(cash), "now": None, "bars": {}, "weights": {}, "decided": False, "out": []}
+        return {"account": Account(cash, tax=tax), "now": None, "bars": {}, "weights": {}, "claims": [], "decided": False, "out": []}
 
     def close(state: dict) -> None:
         own: Account = state["account"]
+        own.begin(int(state["now"]))
         fills = own.trade(state["bars"], state["weights"]) if state["decided"] else 0
         nav = own.value(state["bars"], "close")
-        state["out"].append((state["now"], float(_money(nav)), float(_money(own.cash)), len(own.shares), fills, own.refused))
-        state.update(bars={}, weights={}, decided=False)
+        for claim in state["claims"]:
+            own.entitle(*claim)
+        state["out"].append((state["now"], None if nav is None else float(_money(nav)), float(_money(own.cash)), len(own.shares), fills, own.refused))
+        state.update(bars={}, weights={}, claims=[], decided=False)
 
     def step(state: dict, row: tuple) -> None:
-        _, now, name, weight, o, c, before, up, down = row
+        _, now, name, weight, o, c, before, up, down, paid_cash, stock, ex, paid, listed = row
         if state["now"] is not None and now != state["now"]:
             close(state)
         state["now"] = now
         money = lambda x: Decimal(str(round(x, 4))) if x is not None and x > 0 else None
         state["bars"][name] = {"open": money(o), "close": money(c), "before": money(before), "up": money(up), "down": money(down)}
+        if ex is not None:
+            whole = lambda x: Decimal(str(round(x or 0.0, 8)))
+            state["claims"].append((name, whole(paid_cash), whole(stock), int(ex), int(paid if paid is not None else ex), int(listed if listed is not None else ex)))
         if weight is not None:
             state["decided"] = True
             if weight > 0:
@@ -187,7 +235,7 @@ def simulate_accounts(rows: DataFrame, account: str, order: str, key: str, cash:
 
     kinds = dict(rows.dtypes)
     schema = f"`{account}` {kinds[account]}, `{order}` {kinds[order]}, nav double, cash double, positions int, fills int, refused int"
-    return keyed_scan(rows.select(account, order, key, *cols), [account], [order, key], start, step, finish, schema)
+    return keyed_scan(rows.select(account, order, key, *cols, *claims), [account], [order, key], start, step, finish, schema)
 
 
 def ledger_balances(events: DataFrame, account: str, at: Column, event_id: str, amount: str, payload: list[str]) -> DataFrame:

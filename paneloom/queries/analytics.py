@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import compact_date, instrument_code
 from ..functions.normal import two_sided, two_sided_sql
 from ..operators import inference as I
 from ..operators import models as M
@@ -18,7 +19,7 @@ from ..plans.nodes import Node, absolute, fill, fn, lag, mean, pct, smaller, std
 from ..plans.spark_backend import evaluate
 from ..plans.structure import library, near_duplicates
 from ..session import written
-from ..sources.panel import dense_panel, panel_sql
+from ..sources.panel import dense_panel, panel_sql, sessions
 from ..sources.tables import table
 from .factors import KEYS, panel_query
 from .statistics import BASE, MIN, ic_sql, r6, scored, scored_sql
@@ -116,15 +117,11 @@ def inf_performance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with c as (select row_number() over (order by cal_date) as idx from trade_cal where is_open = 1), e as (select min(idx) as a, max(idx) as b from c), s as (select a, unnest(range(a, b - 250 - 5 - 60 + 2, 60)) as s from e) select cast((s - a) // 60 as int) as fold, cast(s as int) as train_from, cast(s + 249 as int) as train_to, cast(s + 255 as int) as test_from, cast(s + 314 as int) as test_to from s")
 def inf_walk_forward_folds(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.panel import sessions
-
     return I.folds(sessions(spark, d), "idx", 250, 60, 60, embargo=5)
 
 
 @query("with c as (select cast(row_number() over (order by cal_date) as int) as idx from trade_cal where is_open = 1) select idx, cast((idx // 20) % 5 as int) as fold from c")
 def inf_k_folds(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.panel import sessions
-
     return sessions(spark, d).select("idx", I.k_fold(F.col("idx"), 5, 20).alias("fold"))
 
 
@@ -364,7 +361,28 @@ def sim_account(spark: SparkSession, d: str) -> DataFrame:
     days = plans.select("account", "idx").distinct().withColumn("_d", F.lit(0.0))
     rows = panel.withColumn("before", before).join(names, "ts_code").join(plans, ["account", "idx", "ts_code"], "left").join(days, ["account", "idx"], "left")
     rows = rows.withColumn("weight", F.coalesce("weight", "_d"))  # on a decision day what isn't chosen is sold
-    return X.simulate_accounts(rows, "account", "idx", "ts_code")
+    halved = days_at(spark, d, "20230828")  # the tax on sales
+    return X.simulate_accounts(rows, "account", "idx", "ts_code", tax=[(0, "0.001"), (halved, "0.0005")], entitlements=_entitlements(spark, d))
+
+
+def days_at(spark: SparkSession, d: str, day: str) -> int:
+    """Number of the first session from a day on."""
+    return sessions(spark, d).filter(F.col("trade_date") >= day).agg(F.coalesce(F.min("idx"), F.lit(1 << 30))).first()[0]
+
+
+def _entitlements(spark: SparkSession, d: str) -> DataFrame:
+    """Cash and shares for each share by instrument and record session, from distinct announcements; days become the sessions from
+    them on. Rows of one record session add up, at their last ex, payment and listing sessions."""
+    v = table(spark, d, "dividend").select(instrument_code("ts_code").alias("ts_code"), *(compact_date(c).alias(c) for c in ("record_date", "ex_date", "pay_date", "div_listdate")), "cash_div", "stk_div").distinct()
+    v = v.filter("record_date is not null and ex_date is not null and ex_date > record_date")
+    open_days = table(spark, d, "trade_cal").select("cal_date", "is_open")
+    number = sessions(spark, d).select(F.col("trade_date").alias("cal_date"), "idx")
+    w = Window.orderBy("cal_date").rowsBetween(0, Window.unboundedFollowing)  # one row a calendar day
+    next_session = open_days.join(number, "cal_date", "left").select("cal_date", F.min("idx").over(w).alias("_i"))
+    for c, name in (("record_date", "idx"), ("ex_date", "ex"), ("pay_date", "paid"), ("div_listdate", "listed")):
+        v = v.join(next_session.select(F.col("cal_date").alias(c), F.col("_i").alias(name)), c, "left")
+    own = v.filter("idx is not null and ex is not null").groupBy("ts_code", "idx")
+    return own.agg(F.sum("cash_div").alias("cash"), F.sum("stk_div").alias("stock"), F.max("ex").alias("ex"), F.max("paid").alias("paid"), F.max("listed").alias("listed"))
 
 
 @query("select o_custkey, o_orderkey, cast(sum(cast(o_totalprice as decimal(18, 4))) over (partition by o_custkey order by o_orderdate, o_orderkey) as double) as balance, false as conflict from orders")

@@ -108,6 +108,7 @@ def test_account_conserves_money():
     assert a.trade({"600000.SH": bar("10")}, {"600000.SH": 0.5}) == 1
     assert a.shares == {"600000.SH": 5000} and a.cash == Decimal("50000")
     assert a.value({"600000.SH": bar("12")}, "close") == Decimal("110000")
+    a.begin(2)
     assert a.trade({"600000.SH": bar("12")}, {}) == 1 and a.cash == Decimal("110000") and not a.shares
     stopped = bar("10") | {"up": Decimal("10")}
     assert a.trade({"600000.SH": stopped}, {"600000.SH": 0.5}) == 0 and a.refused == 1
@@ -169,3 +170,37 @@ def test_price_volume_features_against_the_definition(spark, sf):
             assert all(abs(got[n] - x) < 1e-5 for n, x in want.items()), (code, t, want, got.to_dict())
             checked += 1
     assert checked > 10
+
+
+def test_account_claims_and_settlement():
+    a = X.Account("100000", slippage="0", least_commission="0", commission="0", tax=[(0, "0.001"), (5, "0.0005")], participation="1")
+    bar = lambda p: {"open": Decimal(p), "close": Decimal(p), "before": Decimal(10**9), "up": None, "down": None}
+    a.begin(1)
+    assert a.trade({"600001.SH": bar("10")}, {"600001.SH": 0.5}) == 1 and a.shares == {"600001.SH": 5000}
+    assert a.trade({"600001.SH": bar("10")}, {}) == 0  # bought this session
+    a.entitle("600001.SH", Decimal("0.2"), Decimal("0.1"), 2, 4, 3)
+    assert a.value({}, "close") == Decimal(100000)  # not before the ex session
+    a.begin(2)
+    assert a.value({"600001.SH": bar("9")}, "close") == Decimal(50000) + 5000 * 9 + 1000 + 500 * 9
+    a.begin(3)
+    assert a.shares == {"600001.SH": 5500} and a.cash == Decimal(50000)
+    a.begin(4)
+    assert a.cash == Decimal(51000)
+    a.begin(5)
+    assert a.trade({"600001.SH": bar("10")}, {}) == 1 and a.cash == Decimal("51000") + 55000 - Decimal("27.50")
+    a.shares["999999.SH"] = 100
+    assert a.value({}, "close") is None and a.trade({}, {}) == 0
+    assert X.lot_rule("688001.SH") == (200, 1, 100000) and X.lot_rule("300001.SZ")[2] == 300000
+
+
+def test_simulated_accounts_on_a_small_market(spark):
+    """One name bought on session 2 with half of a million, a dividend on its record session 3, sold on session 5."""
+    rows = [("x", i, "600001.SH", w, 10.0, 10.0, 1e9, None, None) for i, w in ((1, None), (2, 0.5), (3, None), (4, None), (5, 0.0), (6, None))]
+    df = spark.createDataFrame(rows, "account string, idx int, ts_code string, weight double, open double, close double, before double, up_limit double, down_limit double")
+    e = spark.createDataFrame([("600001.SH", 3, 0.5, 0.0, 4, 6, 6)], "ts_code string, idx int, cash double, stock double, ex int, paid int, listed int")
+    out = {r["idx"]: r for r in X.simulate_accounts(df, "account", "idx", "ts_code", entitlements=e).collect()}
+    shares = 50000
+    paid = round(shares * 10.01 * 1.0003, 2)
+    assert abs(out[2]["cash"] - (1_000_000 - paid)) < 0.02 and out[2]["positions"] == 1
+    assert abs(out[4]["nav"] - (out[3]["nav"] + 0.5 * shares)) < 1e-6
+    assert out[5]["positions"] == 0 and out[6]["cash"] - out[5]["cash"] == 0.5 * shares
