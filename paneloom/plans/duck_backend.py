@@ -97,6 +97,8 @@ def _time(node: Node, a: list[str], i: str, o: str) -> str:
         sd = f"stddev_samp({x}) over {w}" if p[2] else f"stddev_pop({x}) over {w}"
         sd = f"(case when {sd} <= abs(avg({x}) over {w}) * {TINY!r} then 0.0 else {sd} end)"
         return f"case when {enough} then {sd if op == 'std' else f'{sd} * {sd}'} end"
+    if op == "quant":
+        return f"case when {enough} then quantile_cont({x}, {_num(p[2])}) over {w} end"
     if op in ("tsrank", "decay", "median"):
         own = f"list({x}) filter ({x} is not null) over {w}"
         if op == "tsrank":

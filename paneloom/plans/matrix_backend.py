@@ -199,10 +199,14 @@ class Block:
         if op == "tsrank":
             own = self.frames(x, n, np.nan)
             return np.where(enough & ~np.isnan(x), (own < x[..., None]).sum(-1) + ((own == x[..., None]).sum(-1) + 1) / 2, np.nan)
-        if op == "median":
+        if op in ("median", "quant"):
             own = self._part(("sorted", name, n), lambda: np.sort(self.frames(x, n, np.nan), -1))
             at = np.maximum(held, 1).astype(int)
             pick = lambda i: np.take_along_axis(own, i[..., None], -1)[..., 0]
+            if op == "quant":
+                place = (at - 1) * p[2]
+                low = pick(np.floor(place).astype(int))
+                return np.where(enough, low + (pick(np.ceil(place).astype(int)) - low) * (place - np.floor(place)), np.nan)
             return np.where(enough, pick((at - 1) // 2) / 2 + pick(at // 2) / 2, np.nan)
         if op == "decay":
             own = self.frames(x, n, np.nan)

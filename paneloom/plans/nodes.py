@@ -106,7 +106,7 @@ def fn(op: str, *args, par: tuple = ()) -> Node:
 #: How many sessions before its own an operator reads.
 LOOKS = {
     "lag": lambda p: p[0],
-    **{op: (lambda p: p[0] - 1) for op in ("mean", "sum", "min", "max", "std", "var", "count", "skew", "kurt", "tsrank", "slope", "rsq", "corr", "cov", "decay", "median")},
+    **{op: (lambda p: p[0] - 1) for op in ("mean", "sum", "min", "max", "std", "var", "count", "skew", "kurt", "tsrank", "slope", "rsq", "corr", "cov", "decay", "median", "quant")},
     "ema": lambda p: 252, "cumsum": lambda p: 252, "ffill": lambda p: 252, "streak": lambda p: 252, "last_true": lambda p: 252,
 }
 
@@ -131,6 +131,10 @@ mean, total, low, high = _rolling("mean"), _rolling("sum"), _rolling("min"), _ro
 count, skew, kurt, slope, rsq, tsrank, decay, median = (_rolling(o) for o in ("count", "skew", "kurt", "slope", "rsq", "tsrank", "decay", "median"))
 
 
+def quantile(x, n, q, least=None):
+    return fn("quant", x, par=(int(n), int(n if least is None else least), float(q)))
+
+
 def std(x, n, least=None, ddof=1):
     return fn("std", x, par=(int(n), int(n if least is None else least), ddof))
 

@@ -158,8 +158,12 @@ def _time(node: Node, a: list[Column], k: Keys, f: Frames) -> Column:
     if op in ("std", "var"):
         sd = _snap(get("sd" if p[2] else "sdp"), get("avg"))
         return F.when(enough, sd if op == "std" else sd * sd)
-    if op in ("tsrank", "decay", "median"):
+    if op in ("tsrank", "decay", "median", "quant"):
         own = get("list")
+        if op == "quant":
+            place = (F.size(own) - 1) * p[2]
+            low = F.sort_array(own)[F.floor(place).cast("int")]
+            return F.when(enough, low + (F.sort_array(own)[F.ceil(place).cast("int")] - low) * (place - F.floor(place)))
         if op == "tsrank":
             below, equal = (F.size(F.filter(own, lambda e: e < x)), F.size(F.filter(own, lambda e: e == x)))
             return F.when(enough & x.isNotNull(), (below + (equal + 1) / 2))
@@ -235,7 +239,7 @@ def _cross(node: Node, a: list[Column], k: Keys) -> Column:
     return agg(x).over(w).cast("double")
 
 
-TIME = {"lag", "lead", "ffill", "cumsum", "last_true", "ema", "mean", "sum", "min", "max", "std", "var", "count", "skew", "kurt", "slope", "rsq", "tsrank", "decay", "median", "corr", "cov", "wz"}
+TIME = {"lag", "lead", "ffill", "cumsum", "last_true", "ema", "mean", "sum", "min", "max", "std", "var", "count", "skew", "kurt", "slope", "rsq", "tsrank", "decay", "median", "quant", "corr", "cov", "wz"}
 CROSS = {"xrank", "xrank_mid", "xrank_first", "xrank_no", "xz", "xscale", "xmean", "xsum", "xmin", "xmax", "xcount", "gmean", "gsum", "gcount"}
 
 

@@ -36,7 +36,8 @@ TEXT = {
     "max_min": "max(close, open) - min(close, open)", "where": "where(close > open, volume, -volume)", "clip": "clip(returns, -0.05, 0.05)", "corr": "corr(close, volume, 10)", "ts_cov": "ts_cov(returns, amplitude, 20)",
     "ma": "ma(close, 5) / ma(close, 20) - 1", "ts_std": "ts_std(returns, 20)", "ts_min_max": "(close - ts_min(low, 20)) / (ts_max(high, 20) - ts_min(low, 20))", "ts_sum": "ts_sum(volume, 5)",
     "ts_skewness": "ts_skewness(returns, 20)", "ts_kurtosis": "ts_kurtosis(returns, 20)", "ema": "ema(close, 12) - ema(close, 26)", "wma": "wma(close, 10)", "ts_rank": "ts_rank(close, 10)", "ts_regression": "ts_regression(close, 10)",
-    "ts_decay_linear": "ts_decay_linear(returns, 10)", "cumsum": "cumsum(fillna(returns, 0))", "rolling": "close.rolling(10).mean() / close.rolling(10).std()", "median": "median(close, 7)",
+    "ts_decay_linear": "ts_decay_linear(returns, 10)", "cumsum": "cumsum(fillna(returns, 0))", "rolling": "close.rolling(10).mean() / close.rolling(10).std()", "median": "median(close, 7)", "cumprod": "cumprod(1 + fillna(clip(returns, -0.3, 0.3), 0))", "quantile": "quantile(close, 15, 0.3)", "rank01": "rank01(close)",
+    "rolling_least": "close.rolling(20, min_periods=5).quantile(0.75) - close.rolling(window=20, min_periods=3).median()", "clip_upper": "returns.clip(upper=0.02)", "cumprod_signs": "cumprod(sign(returns))",
     "lines": "gap = open / close.shift(1) - 1\nquiet = ts_std(returns, 10)\nfactor = rank(-gap) * rank(-quiet)", "derived": "vwap / close - 1 + overnight * hl_ratio",
     "logic": "((close > open) & (volume > ma(volume, 5))) | (high == low)", "nested": "rank(ts_mean(rank(roc(close, 5)), 5) - ts_mean(rank(volume), 5))",
 }

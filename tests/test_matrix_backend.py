@@ -10,7 +10,7 @@ from paneloom.sources.panel import dense_panel
 C, V = field("close"), field("volume")
 OPERATORS = {
     **{f"t_{op}": fn(op, C, par=(9, 4)) for op in ("mean", "sum", "min", "max", "count", "skew", "kurt", "slope", "rsq", "tsrank", "median", "decay")},
-    "t_std": fn("std", C, par=(9, 4, 1)), "t_sdp": fn("std", C, par=(9, 4, 0)), "t_corr": fn("corr", C, V, par=(12, 5)), "t_cov": fn("cov", C, V, par=(12, 5)),
+    "t_quant": fn("quant", C, par=(9, 4, 0.3)), "t_std": fn("std", C, par=(9, 4, 1)), "t_sdp": fn("std", C, par=(9, 4, 0)), "t_corr": fn("corr", C, V, par=(12, 5)), "t_cov": fn("cov", C, V, par=(12, 5)),
     "t_lag": fn("lag", C, par=(3,)), "t_lead": fn("lead", C, par=(2,)), "t_ffill": fn("ffill", C), "t_cumsum": fn("cumsum", C), "t_last": fn("last_true", C > 20), "t_wz": fn("wz", fn("where", C > 20, C, field("open"))),
     "t_ema": fn("ema", C, par=(0.2, True, 3)), "t_ewm": fn("ema", C, par=(0.2, False, 3)),
     **{f"c_{op}": fn(op, C) for op in ("xrank", "xrank_mid", "xrank_first", "xrank_no", "xscale", "xmean", "xsum", "xmin", "xmax", "xcount", "gmean", "gsum", "gcount")},
