@@ -183,7 +183,7 @@ FACTORS: dict[str, tuple[str, Node]] = {
     "market_state_risk_adjusted_momentum": ("market_state_strength", _market_state()),
     "crowded_reversal_5d_large_order_flow": ("conditional_reversal", _triggered(cross_rank(cross_rank(amount_share) * cross_rank(imbalance)) > 0.9, -pct(c, 5))),
     "crowded_amount_reversal_5d": ("conditional_reversal", _triggered(cross_rank(amount_share) > 0.9, -pct(c, 5))),
-    "post_list_external_flow_days": ("moneyflow_persistence", where(fn("xcount", flow_days) >= 10, cross_rank(flow_days))),
+    "post_list_external_flow_days": ("moneyflow_persistence", where(fn("xcount", flow_days) >= 30, cross_rank(flow_days))),
     "ideal_amplitude_w_cut_reversal_20d": ("amplitude_reversal", -cross_rank(cross_rank(pct(c, 20)) * cross_rank(mean(amplitude, 20)))),
 }
 

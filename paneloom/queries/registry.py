@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, extended, factors, language, problem_sql, problems, relational, statistics, streams
+from . import analytics, extended, factors, language, problem_sql, problems, relational, research, statistics, streams
 
-MODULES = (factors, language, relational, statistics, analytics, streams, extended)
+MODULES = (factors, language, relational, statistics, analytics, streams, extended, research)
 
 
 def queries() -> dict:
