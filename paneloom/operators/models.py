@@ -6,12 +6,10 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
-
 def neutralised(scored: DataFrame, session: str, group: str, score: str, control: str) -> DataFrame:
     """``scored`` with ``residual``: of a regression by session on group dummies and one control. Both sides are demeaned by
     group first, so that the slope is a ratio of sums and all of it is windows."""
@@ -114,12 +112,72 @@ def _unit(rows: list) -> np.ndarray:
 
 def fingerprint(scored: DataFrame, session: str, score: str, size: int = 32, seed: int = 11) -> DataFrame:
     """Behaviour fingerprint of a signal: its ranks projected on seeded pseudo-random directions, one row of ``size`` numbers.
-    The direction of an instrument and session comes from a hash, so that any two signals share it without a table."""
-    own = scored.filter(F.col(score).isNotNull())
-    draw = lambda i: F.pmod(F.xxhash64("ts_code", session, F.lit(seed * 1000 + i)), F.lit(2)) * 2 - 1
+    The direction of an instrument and session comes from the bits of a hash, so that any two signals share it without a
+    table; fingerprints are compared by :func:`likeness`."""
+    own = scored.filter(F.col(score).isNotNull()).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "ts_code", session).cast("binary")))
+    draw = lambda i: F.when(F.substring("_h", i + 1, 1) < "8", 1.0).otherwise(-1.0)
     return own.agg(F.array(*(F.sum((F.col(score) - 0.5) * draw(i)) / F.sqrt(F.count(F.lit(1))) for i in range(size))).alias("fingerprint"))
 
 
+def likeness(a: str, b: str) -> Column:
+    """Cosine of two fingerprints; null where one is zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, e: s + e)
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return dot(a, b) / F.when(size > 0, size)
+
+
+def lasso_by_time(scored: DataFrame, order: str, xs: list[str], y: str, folds: int = 5, penalties: tuple[float, ...] = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2), mixes: tuple[float, ...] = (1.0, 0.5)) -> tuple[dict[str, float], float, float]:
+    """Elastic net whose penalty and mix are chosen on later data: (weights of standardised xs, penalty, mix).
+
+    Sessions are cut into equal stretches; each penalty is fitted on all stretches before one and judged by the squared error on
+    it. Spark sums products by stretch in one scan; fits are coordinate descent on k by k sums."""
+    full = scored.select(order, *xs, y).dropna()
+    span = full.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    if span["a"] is None:
+        return dict.fromkeys(xs, 0.0), penalties[0], mixes[0]
+    cols, wide = ["_1", *xs, y], (span["b"] - span["a"] + 1) / folds
+    full = full.withColumns({"_1": F.lit(1.0), "_f": F.least(F.floor((F.col(order) - span["a"]) / wide), F.lit(folds - 1)).cast("int")})
+    sums = full.groupBy("_f").agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j)).collect()
+    k, per = len(cols), np.zeros((folds, len(cols), len(cols)))
+    for r in sums:
+        for i in range(k):
+            for j in range(i, k):
+                per[r["_f"], i, j] = per[r["_f"], j, i] = r[f"{i}_{j}"]
+
+    def fit(m: np.ndarray, penalty: float, mix: float) -> np.ndarray:
+        """Intercept and weights on the columns as they are."""
+        n = m[0, 0]
+        mu = m[0, 1:] / n
+        c = m[1:, 1:] / n - np.outer(mu, mu)
+        sd = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
+        scale = np.where(sd > 1e-12, sd, 1.0)
+        g, v, b = c[:-1, :-1] / np.outer(scale, scale), c[:-1, -1] / scale, np.zeros(k - 2)
+        for _ in range(1000):
+            old = b.copy()
+            for i in range(k - 2):
+                if sd[i] > 1e-12:
+                    rest = v[i] - g[i] @ b + g[i, i] * b[i]
+                    b[i] = np.sign(rest) * max(abs(rest) - penalty * mix, 0) / (g[i, i] + penalty * (1 - mix))
+            if np.abs(b - old).max(initial=0) < 1e-12:
+                break
+        w = b / scale
+        return np.concatenate([[mu[-1] - w @ mu[:-1]], w])
+
+    def error(m: np.ndarray, w: np.ndarray) -> float:
+        u = np.append(w, -1.0)
+        return float(u @ m @ u)
+
+    def judged(penalty: float, mix: float) -> float:
+        ready = [f for f in range(1, folds) if per[:f, 0, 0].sum() > k and per[f, 0, 0] > 0]
+        return sum(error(per[f], fit(per[:f].sum(0), penalty, mix)) for f in ready)
+
+    best = min(((judged(p, m), -p, m) for p in penalties for m in mixes))
+    whole = per.sum(0)
+    w = fit(whole, -best[1], best[2])[1:]
+    sd = np.sqrt(np.maximum(np.diag(whole)[1:-1] / whole[0, 0] - (whole[0, 1:-1] / whole[0, 0]) ** 2, 0))
+    return dict(zip(xs, (w * sd).tolist())), -best[1], best[2]
+
+
 def survivorship(panel: DataFrame, session: str, key: str, value: str) -> DataFrame:
     """First and last session, count, and share of sessions in the lowest tenth of ``value`` by session, of each key."""
     own = panel.filter(F.col(value).isNotNull())
@@ -229,7 +287,7 @@ def double_ml(scored: DataFrame, session: str, y: str, x: str, controls: list[st
     return out.withColumn("t", F.when(noise > 0, F.col("effect") / noise)).drop("_s", "_y")
 
 
-def regimes_by_mixture(values: np.ndarray, states: tuple[int, ...] = (2, 3), rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def regimes_by_mixture(values: np.ndarray, states: tuple[int, ...] = (3, 4, 5), rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Gaussian hidden Markov states of a session series (one number a session): (state of each session by the forward-backward
     pass, means), the number of states by the Bayesian information criterion. States are ordered by mean."""
     best = None

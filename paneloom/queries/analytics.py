@@ -181,13 +181,13 @@ def mod_residual(spark: SparkSession, d: str) -> DataFrame:
     return r6(own, KEYS, ["residual", "r2"])
 
 
-def _two_regressors(ridge: float) -> str:
-    """``, g as (ts_code, trade_date, score, label, res, r2)``: score on quiet and thin, both standardised by session."""
+def _two_regressors(ridge: float, target: str = "score", name: str = "") -> str:
+    """``, {name}g as (ts_code, trade_date, score, label, res, r2)``: score on quiet and thin, both standardised by session."""
     z = lambda x: f"({x} - avg({x}) over d) / case when stddev_pop({x}) over d > 1e-12 then stddev_pop({x}) over d else 1 end"
-    return f""", f as (select ts_code, trade_date, score, label, score - avg(score) over d as t, {z("quiet")} as x, {z("thin")} as y, count(*) over d as n from scored where score is not null and quiet is not null and thin is not null window d as (partition by trade_date)),
-m as (select *, sum(x * x) over d + {ridge} * n as xx, sum(y * y) over d + {ridge} * n as yy, sum(x * y) over d as xy, sum(x * t) over d as xt, sum(y * t) over d as yt from f where n >= 10 window d as (partition by trade_date)),
-w as (select *, t - ((xt * yy - yt * xy) * x + (yt * xx - xt * xy) * y) / (xx * yy - xy * xy) as res from m),
-g as (select *, case when sum(t * t) over d > 0 then 1 - sum(res * res) over d / sum(t * t) over d end as r2 from w window d as (partition by trade_date))"""
+    return f""", {name}f as (select ts_code, trade_date, score, label, {target} - avg({target}) over d as t, {z("quiet")} as x, {z("thin")} as y, count(*) over d as n from scored where {target} is not null and quiet is not null and thin is not null window d as (partition by trade_date)),
+{name}m as (select *, sum(x * x) over d + {ridge} * n as xx, sum(y * y) over d + {ridge} * n as yy, sum(x * y) over d as xy, sum(x * t) over d as xt, sum(y * t) over d as yt from {name}f where n >= 10 window d as (partition by trade_date)),
+{name}w as (select *, t - ((xt * yy - yt * xy) * x + (yt * xx - xt * xy) * y) / (xx * yy - xy * xy) as res from {name}m),
+{name}g as (select *, case when sum(t * t) over d > 0 then 1 - sum(res * res) over d / sum(t * t) over d end as r2 from {name}w window d as (partition by trade_date))"""
 
 
 @query(BASE + _two_regressors(0.1) + " select ts_code, trade_date, round(res, 6) + 0.0 as residual, round(r2, 6) + 0.0 as r2 from g")
@@ -205,9 +205,10 @@ def mod_residual_ic(spark: SparkSession, d: str) -> DataFrame:
     return S.rank_ic(met, ["trade_date"], least=MIN).agg(F.count("spearman").alias("n"), (F.round(F.avg("spearman"), 6) + 0.0).alias("mean"))
 
 
-@query()
+@query(BASE + _two_regressors(0.0, "label", "a") + _two_regressors(0.0, "score", "b") + ", s as (select count(*) as n, sum(a.res * b.res) as ab, sum(b.res * b.res) as bb, sum(a.res * a.res) as aa from ag a join bg b using (ts_code, trade_date)) select n, round(ab / bb, 7) + 0.0 as effect, round(ab / bb / sqrt((aa - ab * ab / bb) / (n - 2) / bb), 5) + 0.0 as t from s")
 def mod_double_ml(spark: SparkSession, d: str) -> DataFrame:
-    return M.double_ml(scored(spark, d), "trade_date", "label", "score", ["quiet", "thin"])
+    own = M.double_ml(scored(spark, d), "trade_date", "label", "score", ["quiet", "thin"])
+    return own.select("n", (F.round("effect", 7) + 0.0).alias("effect"), (F.round("t", 5) + 0.0).alias("t"))
 
 
 @query()
@@ -229,15 +230,11 @@ def mod_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mod_sparse_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Lasso over standardised signals: which of them keep a weight."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
+    """Which standardised signals keep a weight in an elastic net whose penalty later sessions choose."""
     xs = ["score", "quiet", "thin"]
-    own = scored(spark, d).dropna(subset=[*xs, "label"]).withColumn("y", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), "label")))
-    data = VectorAssembler(inputCols=xs, outputCol="features").transform(own).select("features", "y")
-    fit = LinearRegression(labelCol="y", elasticNetParam=1.0, regParam=0.0005, solver="l-bfgs").fit(data)
-    return spark.createDataFrame([(n, round(float(w), 6)) for n, w in zip(xs, fit.coefficients)], "signal string, weight double")
+    own = scored(spark, d).withColumn("y", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), "label")) + F.when(F.col("label").isNotNull(), 0.0))
+    weights, penalty, mix = M.lasso_by_time(own, "idx", xs, "y")
+    return spark.createDataFrame([(n, round(w, 8), penalty, mix) for n, w in weights.items()], "signal string, weight double, penalty double, mix double")
 
 
 @query()
@@ -246,9 +243,18 @@ def mod_library_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(library(spark, {n: x for n, (_, x) in FACTORS.items()}), 0.6)
 
 
-@query()
+_PRINTS = ", ".join(f"round(sum((v - 0.5) * case when substr(md5('11|' || ts_code || '|' || trade_date), {i + 1}, 1) < '8' then 1.0 else -1.0 end) / sqrt(count(*)), 6) + 0.0 as f{i}" for i in range(32))
+
+
+@query(BASE + ", u as (select 'score' as signal, ts_code, trade_date, score as v from scored union all select 'quiet', ts_code, trade_date, quiet from scored), p as (select signal, " + _PRINTS + " from u where v is not null group by 1) select a.signal, " + ", ".join(f"a.f{i}" for i in range(32)) + ", round(list_cosine_similarity([" + ", ".join(f"a.f{i}" for i in range(32)) + "], [" + ", ".join(f"b.f{i}" for i in range(32)) + "]), 5) + 0.0 as with_score from p a, p b where b.signal = 'score'")
 def mod_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return M.fingerprint(scored(spark, d), "trade_date", "score")
+    """Fingerprints of two signals, and the cosine of each with the first one's."""
+    own, parts = scored(spark, d), None
+    for n in ("score", "quiet"):
+        f = M.fingerprint(own, "trade_date", n).select(F.lit(n).alias("signal"), F.transform("fingerprint", lambda x: F.round(x, 6) + 0.0).alias("p"), F.lit("score").alias("_k"))
+        parts = f if parts is None else parts.unionByName(f)
+    base = parts.filter("signal = 'score'").select("_k", F.col("p").alias("q"))
+    return parts.join(base, "_k").select("signal", *(F.col("p")[i].alias(f"f{i}") for i in range(32)), (F.round(M.likeness("p", "q"), 5) + 0.0).alias("with_score"))
 
 
 @query("with v as (select vec_id, embedding::double[] as e from embeddings), q as (select * from v where vec_id % 50 = 0), n as (select q.vec_id as query, v.vec_id as neighbour, list_cosine_similarity(q.e, v.e) as c from q join v on q.vec_id <> v.vec_id), k as (select *, cast(row_number() over (partition by query order by c desc, neighbour) as int) as rank from n) select query, neighbour, rank, round(c, 6) as cosine from k where rank <= 10")

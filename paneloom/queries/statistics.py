@@ -37,7 +37,7 @@ SIGNALS: dict[str, Node] = {
     "thin": fn("xrank_mid", -mean(turnover, 5)),
     "label": lead(c, 1) / c - 1,
 }
-MIN = 5
+MIN = 3
 _FIELDS = ["open", "close", "turnover", "circ_mv"]
 _KEEP = ["ts_code", "trade_date", "idx", "circ_mv", "industry", "exchange"]
 
@@ -101,9 +101,10 @@ def stat_ic_summary(spark: SparkSession, d: str) -> DataFrame:
     return r6(S.describe(S.rank_ic(scored(spark, d), ["trade_date"], least=MIN), "spearman"), ["n"], _DESCRIBED)
 
 
-@query(BASE + ic_sql("trade_date") + _describe_sql(sd="stddev_pop"))
+@query(BASE + ic_sql("trade_date", least=30) + _describe_sql(sd="stddev_pop"))
 def stat_ic_population(spark: SparkSession, d: str) -> DataFrame:
-    return r6(S.describe(S.rank_ic(scored(spark, d), ["trade_date"], least=MIN), "spearman", ddof=0), ["n"], _DESCRIBED)
+    """The library's summary: sessions with 30 names at least, population deviation."""
+    return r6(S.describe(S.rank_ic(scored(spark, d), ["trade_date"], least=30), "spearman", ddof=0), ["n"], _DESCRIBED)
 
 
 @query(BASE + " select trade_date, count(*) as universe, count(score) as signals, count(label) as labels, count(*) filter (score is not null and label is not null) as pairs from scored group by 1")

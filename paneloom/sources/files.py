@@ -22,8 +22,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; NaN constants and malformed lines fail instead of passing as values."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("allowNonNumericNumbers", False).json(path)
+    """JSON lines, also compressed; NaN constants, malformed lines and lines with a key twice fail instead of passing as values."""
+    text = spark.read.text(path)
+    keys = F.json_object_keys("value")
+    twice = F.size(keys) != F.size(F.array_distinct(keys))
+    sound = F.when(F.coalesce(twice, F.lit(False)), F.raise_error(F.concat(F.lit("a key occurs twice: "), F.substring("value", 1, 200)))).otherwise(F.col("value"))
+    read = F.from_json(sound, schema, {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
+    return text.select(read.alias("_j")).select("_j.*")
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:

@@ -45,17 +45,16 @@ def test_normal_scores_and_weights(spark):
 def test_bootstrap(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, None if i % 17 == 0 else rng.gauss(0.05, 0.1)) for i in range(200)], "i int, v double")
-    means = I.block_bootstrap(df, "i", "v", 10, 400, chunks=3)
+    means = I.block_bootstrap(df, "i", "v", 10, 400)
     out = I.bootstrap_interval(means).first()
     assert out["low"] < 0.05 < out["high"] and out["p"] < 0.05
-    again = I.block_bootstrap(df, "i", "v", 10, 400, chunks=7)
+    again = I.block_bootstrap(df, "i", "v", 10, 400)
     assert sorted(means.collect()) == sorted(again.collect())
     assert I.block_bootstrap(df.limit(0), "i", "v", 10, 3).filter("mean is not null").count() == 0
 
 
 def test_driver_statistics():
     assert I.required_sections(0.02, 0.1) == math.ceil((2.8015852 * 5) ** 2)
-    assert 0 < I.deflated_sharpe(0.1, 500, 0.0, 3.0, 100, 0.05) < I.deflated_sharpe(0.2, 500, 0.0, 3.0, 100, 0.05) < 1
     rng = np.random.default_rng(0)
     noise = rng.normal(0, 1, (240, 10))
     good = noise + np.arange(10) * 0.5
@@ -64,7 +63,40 @@ def test_driver_statistics():
     assert I.fronts(points).tolist() == [1, 0, 0, 2]
     assert np.isinf(I.crowding(points)[[1, 2]]).any()
     assert I.upper_confidence({"a": (10, 0.1), "b": (0, 0.0)}) == "b"
-    assert I.lower_icir_bound(rng.normal(0.1, 0.1, 200), 10) > 0
+
+
+def test_bootstrap_against_brute_force(spark):
+    """The sums of a replicate, value by value, from the same draws."""
+    import hashlib
+
+    v = [None if i % 11 == 0 else math.sin(i) for i in range(53)]
+    got = {r["replicate"]: r for r in I.block_bootstrap(spark.createDataFrame(list(enumerate(v)), "i int, v double"), "i", "v", 10, 20).collect()}
+    for rep in range(20):
+        drawn = []
+        for j in range(6):
+            a = int(hashlib.md5(f"7|{rep}|{j}".encode()).hexdigest()[:8], 16) % 53
+            drawn += [v[(a + k) % 53] for k in range(10 if j < 5 else 3)]
+        own = np.array([x for x in drawn if x is not None])
+        assert got[rep]["mean"] == pytest.approx(own.mean()) and got[rep]["sd"] == pytest.approx(own.std(ddof=1))
+    noise = np.random.default_rng(0).normal(0.1, 0.1, 200)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(noise)], "i int, v double")
+    assert I.lower_icir_bound(df, "i", "v", 10).first()["bound"] > 0
+    worse = df.withColumn("v", F.col("v") - 0.05)
+    a, b = (I.deflated_sharpe(x, "v", 100, 0.05).first()["probability"] for x in (worse, df))
+    assert 0 < a < b <= 1 and I.deflated_sharpe(df.limit(0), "v", 100, 0.05).first()["probability"] is None
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+
+    from paneloom.functions import normal
+
+    z = [-8.0, -3.0, -0.5, 0.0, 1.0, 4.0]
+    p = [0.0, 1e-6, 0.01, 0.3, 0.5, 0.975, 1 - 1e-6, 1.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(normal.below(F.col("z")), normal.two_sided(F.col("z"))).collect()
+    assert all(r[0] == pytest.approx(NormalDist().cdf(x), rel=3e-7) and r[1] == pytest.approx(2 * NormalDist().cdf(-abs(x)), rel=3e-7) for x, r in zip(z, got))
+    back = [r[0] for r in spark.createDataFrame([(x,) for x in p], "p double").select(normal.quantile(F.col("p"))).collect()]
+    assert back[0] is None and back[-1] is None and all(a == pytest.approx(NormalDist().inv_cdf(x), abs=1e-7) for x, a in list(zip(p, back))[1:-1])
 
 
 def test_residuals_are_orthogonal(spark):
@@ -128,7 +160,7 @@ def test_turnover_budget_and_stop(spark):
 def test_regimes():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(-1, 0.3, 100), rng.normal(1, 0.3, 100)])
-    states, means = M.regimes_by_mixture(x)
+    states, means = M.regimes_by_mixture(x, (2, 3))
     assert states[:95].mean() < 0.5 < states[105:].mean() and means[0] < means[-1]
 
 
@@ -204,3 +236,15 @@ def test_simulated_accounts_on_a_small_market(spark):
     assert abs(out[2]["cash"] - (1_000_000 - paid)) < 0.02 and out[2]["positions"] == 1
     assert abs(out[4]["nav"] - (out[3]["nav"] + 0.5 * shares)) < 1e-6
     assert out[5]["positions"] == 0 and out[6]["cash"] - out[5]["cash"] == 0.5 * shares
+
+
+def test_penalty_is_chosen_on_later_sessions(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 100, float(a), float(b), float(a * 0.5 + e)) for i, (a, b, e) in enumerate(rng.normal(size=(3000, 3)))]
+    df = spark.createDataFrame(rows, "idx int, a double, b double, y double")
+    w, penalty, mix = M.lasso_by_time(df, "idx", ["a", "b"], "y", penalties=(0.001, 0.02, 0.3, 2.0))
+    assert 0.4 < w["a"] < 0.6 and abs(w["b"]) < 0.05 and penalty in (0.001, 0.02)
+    noise = df.withColumn("y", F.randn(4))
+    w, penalty, _ = M.lasso_by_time(noise, "idx", ["a", "b"], "y", penalties=(0.0001, 2.0), mixes=(1.0,))
+    assert penalty == 2.0 and w == {"a": 0.0, "b": 0.0}
+    assert M.lasso_by_time(df.limit(0), "idx", ["a"], "y")[0] == {"a": 0.0}
