@@ -147,11 +147,11 @@ FACTORS: dict[str, tuple[str, Node]] = {
     "kurtosis_20": ("distribution", -kurt(r, 20, 10)),
     "sharpe_20": ("distribution", clip((252 * mean(r, 20, 10) - 0.04) / (std(r, 20, 10) * 252**0.5), -5, 5)),
     "atr_14": ("distribution", -(ema(true_range, 14, least=14) / c)),
-    "bull_power": ("pattern", -((h - ema(c, 13)) / c)),
-    "bear_power": ("pattern", (l - ema(c, 13)) / c),
+    "bull_power": ("pattern", -((h - ema(c, 13, least=13)) / c)),
+    "bear_power": ("pattern", (l - ema(c, 13, least=13)) / c),
     "high_52w_rank": ("pattern", -(c / peak_250)),
     "rank_1m": ("pattern", cross_rank(pct(c, 21))),
-    "vm_diff": ("volume_structure", -clip((ema(v, 12) - ema(v, 26)) / ema(v, 26), -5, 5)),
+    "vm_diff": ("volume_structure", -clip((ema(v, 12, least=12) - ema(v, 26, least=26)) / ema(v, 26, least=26), -5, 5)),
     "tvma_20": ("volume_structure", -clip(cv / mean(cv, 20), 0, 10)),
     "high_52w_dist": ("distribution", clip((peak_250 - c) / peak_250, 0, 1)),
     "skew_1m": ("distribution", -skew(r, 21, 10)),
