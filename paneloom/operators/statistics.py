@@ -61,10 +61,11 @@ def coverage(panel: DataFrame, session: str, score: str, label: str) -> DataFram
 
 
 def half_life(decay: DataFrame, lag: str = "lag", ic: str = "ic") -> DataFrame:
-    """Half-life of |ic| over lags, from a line through the first lag's point: ln|ic_k / ic_1| = -rate (k - 1). One row."""
+    """Half-life of |ic| over lags, from a line through the first lag's point: ln|ic_k / ic_1| = -rate (k - 1). One row.
+    A value that is rounding noise beside 1 is zero and has no logarithm."""
     first = F.max_by(F.abs(ic), -F.col(lag))
     own = decay.agg(first.alias("_f"), F.collect_list(F.struct(lag, ic)).alias("_all")).select("_f", F.explode("_all").alias("e")).select("_f", F.col(f"e.{lag}").alias("k"), F.col(f"e.{ic}").alias("v"))
-    x, y = F.col("k") - 1, F.ln(F.when(F.col("v") != 0, F.abs("v")) / F.when(F.col("_f") > 0, F.col("_f")))
+    x, y = F.col("k") - 1, F.ln(F.when(F.abs("v") > TINY, F.abs("v")) / F.when(F.col("_f") > TINY, F.col("_f")))
     fit = own.filter(y.isNotNull() & (x > 0)).agg((-F.sum(x * y) / F.sum(x * x)).alias("rate"))
     return fit.withColumn("half_life", F.when(F.col("rate") > 0, F.ln(F.lit(2.0)) / F.col("rate")))
 

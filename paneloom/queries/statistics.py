@@ -137,7 +137,7 @@ def stat_ic_decay(spark: SparkSession, d: str) -> DataFrame:
     return r6(_decay(spark, d), ["lag"], ["ic"])
 
 
-@query(_DECAY_SQL + ", y as (select lag - 1 as x, ln(abs(ic) / (select abs(ic) from dec where lag = 1)) as y from dec), fit as (select -sum(x * y) / sum(x * x) as rate from y where x > 0) select round(rate, 5) + 0.0 as rate, round(case when rate > 0 then ln(2.0) / rate end, 4) as half_life from fit")
+@query(_DECAY_SQL + ", y as (select lag - 1 as x, ln(case when abs(ic) > 1e-12 then abs(ic) end / (select case when abs(ic) > 1e-12 then abs(ic) end from dec where lag = 1)) as y from dec), fit as (select -sum(x * y) / sum(x * x) as rate from y where x > 0 and y is not null) select round(rate, 5) + 0.0 as rate, round(case when rate > 0 then ln(2.0) / rate end, 4) as half_life from fit")
 def stat_half_life(spark: SparkSession, d: str) -> DataFrame:
     return S.half_life(_decay(spark, d)).select((F.round("rate", 5) + 0.0).alias("rate"), F.round("half_life", 4).alias("half_life"))
 
