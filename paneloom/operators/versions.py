@@ -1,50 +1,111 @@
-"""Attributes as they were known at an event's time, by version numbers."""
+"""Attributes as they were known at an event's time, by one sweep over an entity's days."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import LAST_DAY
-from .stabbing import greatest_in_force
 
 
-def attribute_versions(attributes: DataFrame, entity: str, valid_from: Column, valid_to: Column, known: Column, wide: list[str], ties: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """The change days of each entity, (entity, day, number), and the wide attributes of each number, (entity, number, attrs).
+#: A day before all others, for rows of which none is known.
+NEVER = -(1 << 31)
+
+
+class InForce:
+    """The rows in force that may still count, least rank first. A row that ends no later than one of greater rank never
+    counts again and is not kept, so that ends fall strictly and there are at most as many rows as days."""
+
+    __slots__ = ("ranks", "last", "at")
+
+    def __init__(self) -> None:
+        self.ranks: list[tuple] = []
+        self.last: list[int] = []
+        self.at: list[int] = []
+
+    def insert(self, rank: tuple, last: int, at: int) -> None:
+        i = j = bisect_right(self.ranks, rank)
+        if i < len(self.last) and self.last[i] >= last:
+            return
+        while j and self.last[j - 1] <= last:
+            j -= 1
+        self.ranks[j:i], self.last[j:i], self.at[j:i] = [rank], [last], [at]
+
+    def greatest(self, day: int) -> int | None:
+        """Which row counts on ``day``; days must come in order."""
+        while self.last and self.last[-1] < day:
+            self.ranks.pop(), self.last.pop(), self.at.pop()
+        return self.at[-1] if self.at else None
+
+    def clear(self) -> None:
+        self.ranks, self.last, self.at = [], [], []
+
+
+def attributes_at(events: DataFrame, attributes: DataFrame, entity: str, day: str, valid_from: Column, valid_to: Column, known: Column, wide: list[str], ties: list[Column]) -> DataFrame:
+    """``events`` (every row and column) with the struct ``attrs`` (``wide``) of the attributes known and in force on ``day``.
 
     A row of ``attributes`` is in force from the later of its start and the day it became known until its end. Rows with
     a null start or an end before that day are never in force. Of several in force the one with the latest start counts,
-    then the latest known day (null is earliest), then the greatest of ``ties``. The number of a day is the count of
-    change days up to it; days on which no row is in force have a number without attributes.
+    then the latest known day (null is earliest), then the greatest of ``ties``. Events with a null entity or day, or of a
+    day without attributes, keep a null ``attrs``. Repeated events stay repeated.
+
+    Events and attributes meet in one shuffle by entity, sorted by day, and nothing is multiplied by the days it spans. In
+    memory are a batch and the rows of one entity that may still count, at most one for each day of the calendar.
     """
     rows = attributes.select(
         F.col(entity),
-        F.greatest(valid_from, F.coalesce(known, valid_from)).alias("_a"),
-        F.coalesce(valid_to, F.lit(LAST_DAY)).alias("_b"),
-        F.struct(valid_from.alias("s"), known.alias("k"), *(t.alias(f"t{i}") for i, t in enumerate(ties)), F.struct(*wide).alias("attrs")).alias("_rank"),
-        valid_from.alias("_s"),
-    ).filter(F.col("_s").isNotNull() & (F.col("_a") <= F.col("_b"))).drop("_s")
-    edges = F.explode(F.array(F.col("_a"), F.when(F.col("_b") < LAST_DAY, F.col("_b") + 1)))
-    changes = rows.select(entity, edges.alias("_day")).filter(F.col("_day").isNotNull()).distinct()
-    # An entity has at most one change a calendar day here, however many rows it has: the window's group is bounded.
-    order = Window.partitionBy(entity).orderBy("_day")
-    numbered = changes.withColumn("_number", F.row_number().over(order))
-    best = greatest_in_force(changes, rows, entity, "_day", "_a", "_b", "_rank")
-    return numbered, best.join(numbered, [entity, "_day"]).select(entity, "_number", F.col("_rank.attrs").alias("attrs"))
+        F.greatest(valid_from, F.coalesce(known, valid_from)).alias("_day"),
+        F.lit(False).alias("_asks"),
+        F.coalesce(valid_to, F.lit(LAST_DAY)).alias("_last"),
+        valid_from.alias("_r0"),
+        F.coalesce(known, F.lit(NEVER)).alias("_r1"),
+        *(t.alias(f"_r{i}") for i, t in enumerate(ties, 2)),
+        F.struct(*wide).alias("_attrs"),
+    )
+    kind, ranks = rows.schema["_attrs"].dataType, [f"_r{i}" for i in range(len(ties) + 2)]
+    both = events.withColumns({"_day": F.col(day), "_asks": F.lit(True)}).unionByName(rows, allowMissingColumns=True)
 
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, kept, key = InForce(), None, None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            # rows that are never in force; a filter in the plan would have every date parsed once more for it
+            sound = pc.and_(pc.and_(own.column(entity).is_valid(), own.column("_r0").is_valid()), pc.less_equal(own.column("_day"), own.column("_last")).fill_null(False))
+            own = own.filter(pc.or_(own.column("_asks"), sound))
+            if not own.num_rows:
+                continue
+            table = own if kept is None else pa.concat_tables([kept, own])
+            code = own.column(entity).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            heads = np.concatenate([[own.column(entity)[0].as_py() != key], np.diff(code) != 0]).tolist()
+            asks, days, last = own.column("_asks").to_pylist(), own.column("_day").to_pylist(), own.column("_last").to_pylist()
+            dated = own.filter(pc.invert(own.column("_asks"))).select(ranks)
+            # null is least among the ties
+            order = zip(dated.column(0).to_pylist(), dated.column(1).to_pylist(), *([(v is not None, v) if v is not None else (False,) for v in c.to_pylist()] for c in dated.columns[2:]))
+            found: list[int | None] = []
+            for at, (head, ask, now, end) in enumerate(zip(heads, asks, days, last), table.num_rows - own.num_rows):
+                if head:
+                    state.clear()
+                if not ask:
+                    state.insert(next(order), end, at)
+                else:
+                    found.append(None if now is None else state.greatest(now))
+            if found:
+                out = own.filter(own.column("_asks")).select(names)
+                yield from out.append_column("attrs", table.column("_attrs").combine_chunks().take(pa.array(found, pa.int64()))).to_batches()
+            key = own.column(entity)[-1].as_py()
+            kept = table.take(pa.array(state.at, pa.int64())) if state.at else None
+            state.at = list(range(len(state.at)))
 
-def attributes_at(events: DataFrame, attributes: DataFrame, entity: str, day: str, valid_from: Column, valid_to: Column, known: Column, wide: list[str], ties: list[Column]) -> DataFrame:
-    """``events`` (every row and column) with ``_number`` and the struct ``attrs`` of the attributes known and in force on ``day``.
-
-    Events with a null entity or day, or of a day without attributes, keep a null ``attrs``. Repeated events stay
-    repeated. The narrow rows (entity, day) of events and changes are numbered by the running count of changes; wide
-    attributes meet the events in an equi-join on (entity, number) only.
-    """
-    numbered, wide_rows = attribute_versions(attributes, entity, valid_from, valid_to, known, wide, ties)
-    asked = events.select(F.col(entity), F.col(day).alias("_day")).filter(F.col("_day").isNotNull() & F.col(entity).isNotNull()).distinct()
-    narrow = asked.withColumn("_change", F.lit(0)).unionByName(numbered.select(entity, "_day", F.lit(1).alias("_change")))
-    narrow = narrow.groupBy(entity, "_day").agg(F.max("_change").alias("_change"), F.min("_change").alias("_least"))
-    running = Window.partitionBy(entity).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    stamped = narrow.withColumn("_number", F.sum("_change").over(running)).filter((F.col("_least") == 0) & (F.col("_number") > 0))
-    answer = stamped.select(entity, "_day", "_number").join(wide_rows, [entity, "_number"])
-    return events.withColumn("_day", F.col(day)).join(answer, [entity, "_day"], "left").drop("_day")
+    names = events.columns
+    schema = T.StructType([*events.schema.fields, T.StructField("attrs", kind)])
+    # numbered, because the little that is shuffled here is much work; events without an entity are spread by their day
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = both.repartition(parts, F.when(F.col(entity).isNotNull(), F.xxhash64(entity)).otherwise(F.xxhash64("_day")))
+    return placed.sortWithinPartitions(entity, "_day", "_asks").mapInArrow(sweep, schema)

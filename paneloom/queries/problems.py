@@ -35,17 +35,21 @@ def _known_names(spark: SparkSession, d: str) -> DataFrame:
     return coded(table(spark, d, "namechange"), "start_date", "end_date", "ann_date")
 
 
-def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """Every dividend row and moment with the name in force and known then; null attributes where there is none."""
+def _with_names(spark: SparkSession, d: str, wide: list[str]) -> DataFrame:
     raw = coded(table(spark, d, "dividend").select("div_id", "ts_code", "ann_date", "ex_date"), "ann_date", "ex_date")
     moments = F.explode(F.array(F.struct(F.lit("ann").alias("moment"), F.col("ann_date").alias("day")), F.struct(F.lit("ex").alias("moment"), F.col("ex_date").alias("day"))))
     events = raw.select("div_id", "ts_code", moments.alias("m")).select("div_id", "ts_code", "m.moment", "m.day")
-    found = attributes_at(events, _known_names(spark, d), "ts_code", "day", F.col("start_date"), F.col("end_date"), F.col("ann_date"), ["nc_id", "name", "change_reason"], [F.col("nc_id")])
+    return attributes_at(events, _known_names(spark, d), "ts_code", "day", F.col("start_date"), F.col("end_date"), F.col("ann_date"), wide, [F.col("nc_id")])
+
+
+def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Every dividend row and moment with the name in force and known then; null attributes where there is none."""
+    found = _with_names(spark, d, ["nc_id", "name", "change_reason"])
     return found.select("div_id", "moment", day_string("day").alias("on_date"), "attrs.nc_id", "attrs.name", "attrs.change_reason")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_attributes(spark, d).filter(F.col("nc_id").isNotNull()).select("div_id", "moment", "nc_id").distinct()
+    return _with_names(spark, d, ["nc_id"]).select("div_id", "moment", "attrs.nc_id").filter(F.col("nc_id").isNotNull()).distinct()
 
 
 def _trailing(spark: SparkSession, d: str) -> DataFrame:

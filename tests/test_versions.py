@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from paneloom.operators.stabbing import greatest_in_force
-from paneloom.operators.versions import attributes_at
+from paneloom.operators.versions import InForce, attributes_at
 
 
 def test_greatest_in_force_against_brute_force(spark):
@@ -40,3 +40,33 @@ def test_empty_tables(spark):
     got = attributes_at(events, attrs, "e", "t", F.col("s"), F.col("b"), F.col("k"), ["n"], [F.col("n")]).collect()
     assert len(got) == 1 and got[0]["attrs"] is None
     assert attributes_at(events.limit(0), attrs, "e", "t", F.col("s"), F.col("b"), F.col("k"), ["n"], [F.col("n")]).count() == 0
+
+
+def test_one_shuffle_and_state_over_batches(spark):
+    rng = random.Random(5)
+    none = lambda v, p: None if rng.random() < p else v
+    rows = [(none(i, 0.1), rng.choice("abcd"), s := rng.randrange(100, 140), none(s + rng.randrange(-5, 90), 0.2), none(s + rng.randrange(-20, 40), 0.3), f"w{i}") for i in range(400)]
+    events = [(i, rng.choice(["a", "b", "c", "e", None]), none(rng.randrange(90, 260), 0.1)) for i in range(700)]
+    want = {}
+    for i, e, t in events:
+        held = [(s, -1 if k is None else k, -1 if n is None else n, w) for n, x, s, b, k, w in rows if x == e and t is not None and s <= t and (b is None or b >= t) and (k is None or k <= t)]
+        top = max(held)[:3] if held else None
+        want[i] = {r[3] for r in held if r[:3] == top} if held else {None}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        attrs = spark.createDataFrame(rows, "n int, e string, s int, b int, k int, w string")
+        df = attributes_at(spark.createDataFrame(events, "i int, e string, t int"), attrs, "e", "t", F.col("s"), F.col("b"), F.col("k"), ["w"], [F.col("n")])
+        got = {r["i"]: r["attrs"]["w"] if r["attrs"] else None for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys() and all(got[i] in want[i] for i in want)
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("RepartitionByExpression") + plan.count("Exchange hashpartitioning") <= 2 and "Generate" not in plan and "Join" not in plan
+
+
+def test_rows_that_never_count_are_not_kept():
+    state = InForce()
+    for i in range(1000):
+        state.insert((i, i, i), 5000 - i % 7, i)
+    assert len(state.at) <= 7 and state.greatest(10) == 999
