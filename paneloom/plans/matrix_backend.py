@@ -14,13 +14,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .nodes import Node
 from .spark_backend import CROSS, TIME, TINY
 
 BLOCK = 8_192
+BACK = "_back"
 Array = np.ndarray
 
 
@@ -265,8 +267,10 @@ def outermost(signals: list[Node], known: set[Node]) -> list[Node]:
     return list(found)
 
 
-def with_time(panel: DataFrame, nodes: list[Node], known: set[Node], instrument: str, order: str) -> DataFrame:
-    """``panel`` with a column for each of ``nodes`` (see :func:`outermost`): one shuffle by instrument, one sort, one pass."""
+def with_time(panel: DataFrame, nodes: list[Node], known: set[Node], instrument: str, order: str, placed: bool = False, keep: list[str] | None = None, beside: list[str] = ()) -> DataFrame:
+    """``panel`` with a column for each of ``nodes`` (see :func:`outermost`): one shuffle by instrument, one sort, one pass. None
+    of the shuffle where ``panel`` is ``placed`` by instrument already. Of the panel's columns ``keep`` comes out, or all.
+    With ``beside`` a row of which BACK is true brings these columns to the panel's row of its instrument and session."""
     fields = {a.par[0] if a.op == "field" else a.key for n in nodes for a in _leaves(n, known)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +290,14 @@ def with_time(panel: DataFrame, nodes: list[Node], known: set[Node], instrument:
 
     def made(rows: pa.Table, heads: Array) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
+        if beside:
+            back = rows.column(BACK).to_numpy()
+            brought, follows = rows.filter(pa.array(back)), np.append(back[1:], False)[~back]
+            rows = rows.filter(pa.array(~back))
+            at = pa.array(np.cumsum(follows) - 1, mask=~follows)  # each follows the panel's row
+            for c in beside:
+                rows = rows.set_column(rows.column_names.index(c), c, brought.column(c).take(at))
+            heads = _heads(rows, instrument)
         size = np.diff(np.append(heads, rows.num_rows))
         i = np.repeat(np.arange(len(heads)), size)
         j = np.arange(rows.num_rows) - heads[i]
@@ -298,13 +310,23 @@ def with_time(panel: DataFrame, nodes: list[Node], known: set[Node], instrument:
         with np.errstate(all="ignore"):
             block = Block({c: matrix(c) for c in fields}, matrix(order))
             values = [np.broadcast_to(block.value(n), block.order.shape)[i, j] for n in nodes]
-        columns = [*rows.columns, *(pa.array(v, pa.float64(), from_pandas=True) for v in values)]
-        yield from pa.table(columns, names=[*rows.column_names, *(n.key for n in nodes)]).to_batches(max_chunksize=BLOCK)
+        columns = [*(rows.column(c) for c in kept_columns), *(pa.array(v, pa.float64(), from_pandas=True) for v in values)]
+        yield from pa.table(columns, names=[*kept_columns, *(n.key for n in nodes)]).to_batches(max_chunksize=BLOCK)
 
-    schema = T.StructType([*panel.schema.fields, *(T.StructField(n.key, T.DoubleType()) for n in nodes)])
+    kept_columns = panel.columns if keep is None else keep
+    schema = T.StructType([*(panel.schema[c] for c in kept_columns), *(T.StructField(n.key, T.DoubleType()) for n in nodes)])
     # numbered, because the little that is shuffled here is much work: it isn't to be coalesced into few tasks
-    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return panel.repartition(parts, instrument).sortWithinPartitions(instrument, order).mapInArrow(run, schema)
+    within = [BACK] if beside else []
+    if placed:
+        # a window asks for whole instruments, so that Spark itself moves the rows if they should not lie so
+        whole = panel.withColumn("_row", F.row_number().over(Window.partitionBy(instrument).orderBy(order, *within)))
+    else:
+        whole = by_key(panel, instrument)
+    return whole.sortWithinPartitions(instrument, order, *within).mapInArrow(run, schema)
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _leaves(n: Node, known: set[Node]) -> Iterator[Node]:
@@ -371,6 +393,25 @@ class Sessions:
         out[some] = x[order[low]] + (x[order[high]] - x[order[low]]) * 0.5
         return out
 
+    def scale(self, node: Node, x: Array) -> tuple[Array, Array]:
+        """What an ``xz`` takes off and divides by in each session; NaN where it has no value."""
+        how, ddof, least = node.par
+        of = self.session
+        mean, held = self._mean(x, of), self._held(x, of)
+        off = np.nan_to_num(x - mean[of]) ** 2
+        sd = np.sqrt(np.bincount(of, off) / np.where(held > ddof, held - bool(ddof), np.nan))
+        sd = np.where(sd <= np.abs(mean) * TINY, 0.0, sd)
+        sound = (held >= least) & (sd > 0)
+        return np.where(sound, self._median(x, of) if how == "median" else mean, np.nan), np.where(sound, sd, np.nan)
+
+    def numbers(self, node: Node, x: Array) -> tuple[Array, ...]:
+        """The numbers of each session from which ``node``, one of SESSION, follows row by row."""
+        if node.op == "xz":
+            return self.scale(node, x)
+        if node.op == "xscale":
+            return self._extreme(x, self.session, True), self._extreme(x, self.session, False)
+        return (self.value(node, x)[np.unique(self.session, return_index=True)[1]],)
+
     def value(self, node: Node, x: Array) -> Array:
         op, p, of = node.op, node.par, self.group if node.op.startswith("g") else self.session
         n = self._held(x, of)[of]
@@ -378,14 +419,8 @@ class Sessions:
             place = self._rank(x, of, op == "xrank_first")
             return {"xrank_no": place, "xrank_mid": np.where(n >= 2, (place - 0.5) / n, np.nan)}.get(op, place / n)
         if op == "xz":
-            how, ddof, least = p
-            mean = self._mean(x, of)
-            off = np.nan_to_num(x - mean[of]) ** 2
-            held = self._held(x, of)
-            sd = np.sqrt(np.bincount(of, off) / np.where(held > ddof, held - bool(ddof), np.nan))
-            sd = np.where(sd <= np.abs(mean) * TINY, 0.0, sd)[of]
-            centre = self._median(x, of) if how == "median" else mean
-            return np.where((n >= least) & (sd > 0), (x - centre[of]) / np.where(sd > 0, sd, np.nan), np.nan)
+            centre, sd = self.scale(node, x)
+            return (x - centre[of]) / sd[of]
         if op == "xscale":
             lo, hi = self._extreme(x, of, True)[of], self._extreme(x, of, False)[of]
             return np.where(np.isnan(x), np.nan, np.where(hi > lo, (x - lo) / np.where(hi > lo, hi - lo, np.nan), 0.0))
@@ -394,10 +429,8 @@ class Sessions:
         return n if op[1:] == "count" else (self._mean if op[1:] == "mean" else self._total)(x, of)[of]
 
 
-def with_cross(panel: DataFrame, nodes: list[Node], known: set[Node], instrument: str, session: str, group: str | None) -> DataFrame:
-    """``panel`` with a column for each cross node of ``nodes``: one shuffle by session, one sort, one pass over whole sessions."""
-    fields = {a.par[0] if a.op == "field" else a.key for n in nodes for x in n.args for a in _leaves(x, known)}
-    grouped = any(n.op.startswith("g") for n in nodes)
+def _whole_sessions(session: str, group: str | None, fields: set[str], made: Callable[[pa.Table, Array, Block, Sessions], pa.Table]) -> Callable:
+    """What takes sorted rows as whole sessions: ``made`` gets some, where each begins, and them as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -409,23 +442,106 @@ def with_cross(panel: DataFrame, nodes: list[Node], known: set[Node], instrument
             if kept.num_rows >= BLOCK:
                 heads = _heads(kept, session)
                 if len(heads) > 1:
-                    yield from made(kept.slice(0, int(heads[-1])), heads[:-1])
+                    yield from block(kept.slice(0, int(heads[-1])), heads[:-1])
                     kept = kept.slice(int(heads[-1]))
         if kept is not None and kept.num_rows:
-            yield from made(kept, _heads(kept, session))
+            yield from block(kept, _heads(kept, session))
 
-    def made(rows: pa.Table, heads: Array) -> Iterator[pa.RecordBatch]:
+    def block(rows: pa.Table, heads: Array) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         own = np.zeros(rows.num_rows, np.int64)
         own[heads[1:]] = 1
-        code = rows.column(group).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) if grouped else None
+        code = rows.column(group).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) if group else None
         flat = {c: rows.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in fields}
         with np.errstate(all="ignore"):
-            block, cut = Block(flat, np.zeros(rows.num_rows)), Sessions(np.cumsum(own), code)
-            values = [cut.value(n, block.value(n.args[0])) for n in nodes]
-        columns = [*rows.columns, *(pa.array(v, pa.float64(), from_pandas=True) for v in values)]
-        yield from pa.table(columns, names=[*rows.column_names, *(n.key for n in nodes)]).to_batches(max_chunksize=BLOCK)
+            out = made(rows, heads, Block(flat, np.zeros(rows.num_rows)), Sessions(np.cumsum(own), code))
+        yield from out.to_batches(max_chunksize=BLOCK)
+
+    return run
+
+
+def _doubles(values: list[Array]) -> list[pa.Array]:
+    return [pa.array(v, pa.float64(), from_pandas=True) for v in values]
+
+
+def with_cross(panel: DataFrame, nodes: list[Node], known: set[Node], instrument: str, session: str, group: str | None) -> DataFrame:
+    """``panel`` with a column for each cross node of ``nodes``: one shuffle by session, one sort, one pass over whole sessions."""
+    fields = {a.par[0] if a.op == "field" else a.key for n in nodes for x in n.args for a in _leaves(x, known)}
+
+    def made(rows: pa.Table, heads: Array, block: Block, cut: Sessions) -> pa.Table:
+        values = [cut.value(n, block.value(n.args[0])) for n in nodes]
+        return pa.table([*rows.columns, *_doubles(values)], names=[*rows.column_names, *(n.key for n in nodes)])
 
     schema = T.StructType([*panel.schema.fields, *(T.StructField(n.key, T.DoubleType()) for n in nodes)])
-    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return panel.repartition(parts, session).sortWithinPartitions(session, instrument).mapInArrow(run, schema)
+    run = _whole_sessions(session, group if any(n.op.startswith("g") for n in nodes) else None, fields, made)
+    return by_key(panel, session).sortWithinPartitions(session, instrument).mapInArrow(run, schema)
+
+
+#: Cross operators whose value in a row follows from the row and one or two numbers of its session.
+SESSION = {"xz": 2, "xscale": 2, "xmean": 1, "xsum": 1, "xmin": 1, "xmax": 1, "xcount": 1}
+
+
+def crossings(roots: list[Node], known: set[Node]) -> list[Node]:
+    """The cross operators of ``roots`` that aren't known, each after those it needs."""
+    return list(dict.fromkeys(n for root in roots for n in root.walk() if n.op in CROSS and n not in known))
+
+
+def whole_inputs(roots: list[Node], known: set[Node]) -> list[Node]:
+    """The largest expressions without an unknown cross operator from which those of ``roots`` and then ``roots`` follow."""
+    found: dict[Node, None] = {}
+
+    def walk(n: Node) -> None:
+        if n.op in ("const", "null"):
+            return
+        if n.op == "neg" or (n not in known and (n.op in CROSS or crossings([n], known))):
+            for a in n.args:
+                walk(a)
+        else:
+            found[n] = None
+
+    for r in roots:
+        walk(r)
+    return list(found)
+
+
+def session_numbers(inputs: DataFrame, nodes: list[Node], known: set[Node], session: str) -> DataFrame:
+    """One row a session: for each of ``nodes`` (SESSION) its numbers as columns ``key_0``, ``key_1``. ``inputs`` are sorted by session."""
+    fields = {a.par[0] if a.op == "field" else a.key for n in nodes for x in n.args for a in _leaves(x, known | set(nodes)) if a not in nodes}
+    names = [f"{n.key}_{i}" for n in nodes for i in range(SESSION[n.op])]
+
+    def made(rows: pa.Table, heads: Array, block: Block, cut: Sessions) -> pa.Table:
+        out: list[Array] = []
+        for n in nodes:
+            x = np.broadcast_to(block.value(n.args[0]), cut.session.shape)
+            out += cut.numbers(n, x)
+            block.known[n] = cut.value(n, x)
+        return pa.table([rows.column(session).take(pa.array(heads)), *_doubles(out)], names=[session, *names])
+
+    schema = T.StructType([inputs.schema[session], *(T.StructField(c, T.DoubleType()) for c in names)])
+    return inputs.mapInArrow(_whole_sessions(session, None, fields, made), schema)
+
+
+def from_numbers(node: Node, x: Column) -> Column:
+    """The row's value of ``node`` from its argument and :func:`session_numbers`."""
+    a, b = F.col(f"{node.key}_0"), F.col(f"{node.key}_1")
+    if node.op == "xz":
+        return (x - a) / b
+    if node.op == "xscale":
+        return F.when(x.isNotNull(), F.when(b > a, (x - a) / (b - a)).otherwise(0.0))
+    return a
+
+
+def row_values(inputs: DataFrame, roots: list[Node], known: set[Node], instrument: str, order: str, session: str, group: str | None) -> DataFrame:
+    """(``instrument``, ``order``, a column for each of ``roots``), without rows that have none of them. ``inputs`` are sorted by session."""
+    nodes = crossings(roots, known)
+    fields = {a.par[0] if a.op == "field" else a.key for r in roots for a in _leaves(r, known)}
+
+    def made(rows: pa.Table, heads: Array, block: Block, cut: Sessions) -> pa.Table:
+        for n in nodes:
+            block.known[n] = cut.value(n, np.broadcast_to(block.value(n.args[0]), cut.session.shape))
+        values = [np.broadcast_to(block.value(r), cut.session.shape) for r in roots]
+        some = pa.array(~np.all([np.isnan(v) for v in values], 0))
+        return pa.table([rows.column(instrument), rows.column(order), *_doubles(values)], names=[instrument, order, *(r.key for r in roots)]).filter(some)
+
+    schema = T.StructType([inputs.schema[instrument], inputs.schema[order], *(T.StructField(r.key, T.DoubleType()) for r in roots)])
+    return inputs.mapInArrow(_whole_sessions(session, group if any(n.op.startswith("g") for n in nodes) else None, fields, made), schema)

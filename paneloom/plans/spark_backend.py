@@ -298,15 +298,65 @@ def _by_matrices(panel: DataFrame, roots: list[Node], known: set[Node], k: Keys)
         known |= set(now)
 
 
-def evaluate(panel: DataFrame, signals: dict[str, Node], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str | None = "industry") -> DataFrame:
+#: Cross operators that a session's aggregate gives, so that a time operator over them needs no row of another instrument.
+SERIES = {"xmean": F.avg, "xsum": F.sum, "xmin": F.min, "xmax": F.max, "xcount": F.count}
+
+
+def _below(roots: list[Node]) -> dict[Node, None]:
+    """The cross operators that lie under a time operator."""
+    return {n: None for root in roots for t in root.walk() if kind(t) == "time" for a in t.args for n in a.walk() if kind(n) == "cross"}
+
+
+def _by_inputs(panel: DataFrame, roots: list[Node], known: set[Node], k: Keys, placed: bool) -> DataFrame:
+    """The same where time operators lie over no cross operators but SERIES. Wide rows stay where their instrument is: to the
+    sessions go only the inputs of cross operators, back come a few numbers a session, and values row by row of signals with
+    ranks and groups alone. Time operators that are inputs are computed twice; that costs less than moving what they give."""
+    from .matrix_backend import BACK, SESSION, by_key, crossings, from_numbers, outermost, row_values, session_numbers, whole_inputs, with_time
+
+    columns, panel = panel.columns, panel if placed else by_key(panel, k.instrument)
+    if below := _below(roots):
+        args = list(dict.fromkeys(n.args[0] for n in below))
+        rows = with_time(panel, args, known, k.instrument, k.order, True, [k.session])
+        series = rows.groupBy(k.session).agg(*(SERIES[n.op](n.args[0].key).cast("double").alias(n.key) for n in below))
+        panel = panel.join(F.broadcast(series), k.session, "left")  # one row a session
+        known |= set(below)
+    crossed = [r for r in roots if crossings([r], known)]
+    byrow = [r for r in crossed if any(n.op not in SESSION for n in crossings([r], known))]
+    byday = crossings([r for r in crossed if r not in byrow], known)
+    if crossed:
+        asked = whole_inputs([*byrow, *byday], known)
+        nodes, fields = [n for n in asked if n.op != "field" and n not in known], [n.par[0] if n.op == "field" else n.key for n in asked if n.op == "field" or n in known]
+        group = [k.group] if any(n.op.startswith("g") for n in crossings(byrow, known)) else []
+        narrow = with_time(panel, nodes, known, k.instrument, k.order, True, list(dict.fromkeys([k.instrument, k.order, k.session, *group, *fields])))
+        narrow = by_key(narrow, k.session).sortWithinPartitions(k.session, k.instrument)
+    if byrow:
+        back = row_values(narrow, byrow, known | set(nodes), k.instrument, k.order, k.session, k.group)
+        # a join by instrument and session would shuffle both sides by both; a union stays where both lie by instrument
+        panel = panel.withColumn(BACK, F.lit(False)).unionByName(by_key(back, k.instrument).withColumn(BACK, F.lit(True)), allowMissingColumns=True)
+        known |= set(byrow)
+    if (last := outermost(roots, known)) or byrow:
+        panel = with_time(panel, last, known, k.instrument, k.order, True, list(dict.fromkeys([*columns, *(n.key for n in known)])), [r.key for r in byrow])
+    if byday:
+        panel = panel.join(F.broadcast(session_numbers(narrow, byday, known | set(nodes), k.session)), k.session, "left")  # one row a session
+    known |= set(last)
+    for n in byday:
+        panel = panel.withColumn(n.key, from_numbers(n, column(n.args[0], known)))
+        known.add(n)
+    return panel.select(*columns, *(n.key for n in known))
+
+
+def evaluate(panel: DataFrame, signals: dict[str, Node], instrument: str = "ts_code", order: str = "idx", session: str = "trade_date", group: str | None = "industry", placed: bool = False) -> DataFrame:
     """``panel`` with one column for each signal. ``panel`` has one row for an instrument and session; ``order`` is the
     session's number, without holes within an instrument (see ``dense_panel``). Nulls stay null, results are never NaN
-    or infinite: what would be is null."""
+    or infinite: what would be is null. ``placed``: each instrument lies in one of spark.sql.shuffle.partitions parts already."""
     k = Keys(instrument, order, session, group)
     known: set[Node] = set()
     roots = list(signals.values())
     if len({n for root in roots for n in root.walk() if kind(n) == "time"}) > MANY:
-        return _finished(_by_matrices(panel, roots, known, k), signals, known)
+        # a time operator over other cross operators needs whole rows to go to and fro
+        if any(n.op not in SERIES or any(kind(a) == "cross" for a in n.args[0].walk()) for n in _below(roots)):
+            return _finished(_by_matrices(panel, roots, known, k), signals, known)
+        return _finished(_by_inputs(panel, roots, known, k, placed), signals, known)
     for what, nodes in schedule(list(signals.values())):
         frames = Frames(k)
         make = (lambda n, a, keys: _time(n, a, keys, frames)) if what == "time" else _cross

@@ -19,12 +19,12 @@ def rounded(df: DataFrame, keys: list[str], signals: list[str], digits: int = 6)
     return df.select(*keys, *((F.round(s, digits) + 0.0).alias(s) for s in signals))
 
 
-def panel_query(signals: dict[str, Node], digits: int = 6):
+def panel_query(signals: dict[str, Node], digits: int = 6, placed: bool = False):
     fields = sorted({f for n in signals.values() for f in fields_of(n)})
     group = any(needs_group(n) for n in signals.values())
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return rounded(evaluate(dense_panel(spark, d, fields, group), signals), KEYS, list(signals), digits)
+        return rounded(evaluate(dense_panel(spark, d, fields, group, placed), signals, placed=placed), KEYS, list(signals), digits)
 
     return query, panel_sql(fields, group) + select("panel", signals, KEYS, digits=digits)
 
@@ -47,4 +47,4 @@ for _name, (_, _node) in REPORTS.items():
 BATCH = {name: node for name, (_, node) in FACTORS.items()}
 
 
-QUERIES["fac_batch"], SQL["fac_batch"] = panel_query(BATCH, 7)
+QUERIES["fac_batch"], SQL["fac_batch"] = panel_query(BATCH, 7, placed=True)

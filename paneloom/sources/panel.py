@@ -24,11 +24,12 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return cal.select(F.col("cal_date").alias("trade_date"), F.row_number().over(Window.orderBy("cal_date")).alias("idx"))
 
 
-def dense_panel(spark: SparkSession, d: str, fields: list[str] | None = None, industry: bool = False) -> DataFrame:
+def dense_panel(spark: SparkSession, d: str, fields: list[str] | None = None, industry: bool = False, placed: bool = False) -> DataFrame:
     """ts_code, trade_date, idx and the wanted fields (all of DAILY unless given), NaN as null, absent sessions null.
 
     Of repeated daily rows the one ingested last counts; rows of other tables that repeat are equal. Rows on days that are
-    no session are left out. Only the tables that hold a wanted field are read.
+    no session are left out. Only the tables that hold a wanted field are read. ``placed``: the one shuffle is by instrument,
+    into spark.sql.shuffle.partitions parts, so that what goes by instrument needs no other.
     """
     fields = list(DAILY) if fields is None else fields
     days = sessions(spark, d)
@@ -48,6 +49,8 @@ def dense_panel(spark: SparkSession, d: str, fields: list[str] | None = None, in
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p, allowMissingColumns=True)
+    if placed:
+        both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ts_code")
     # only daily rows have a time, so that max_by sees no others
     aggs = [F.max_by(f, "_at").alias(f) if f in DAILY else F.max(f).alias(f) for f in fields]
     panel = both.groupBy("ts_code", "idx").agg(F.max("_in").alias("_in"), *aggs).filter("_in = 1").drop("_in").join(days, "idx")
